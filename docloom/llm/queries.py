@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat_format, license_scan, threshold_sketch
+from docloom.llm import chat_format, license_scan, piece_encode, residual_packing, threshold_sketch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op2_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_encode.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     starts = F.transform("places", lambda p: p["start"])
@@ -42,6 +47,12 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    pieces = residual_packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return residual_packing.pack(pieces, docs.count())
+
+
 def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     rows = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -73,7 +84,9 @@ FROM l GROUP BY conv_id
 
 QUERIES = {
     "op2_threshold_sketch": op2_threshold_sketch,
+    "op3_piece_encode": op3_piece_encode,
     "op6_license_scan": op6_license_scan,
+    "op8_residual_packing": op8_residual_packing,
     "op10_prefix_targets": op10_prefix_targets,
 }
 ORACLE_SQL = {"op10_prefix_targets": OP10_SQL}
