@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat_format, license_scan, piece_encode, residual_packing, threshold_sketch
+from docloom.llm import attention_quality, chat_format, license_scan, piece_encode, quality_rules, residual_packing, threshold_sketch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
+
+
 def op2_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = threshold_sketch.fingerprint(_table(spark, sf_dir, "documents"))
     own, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
@@ -32,6 +37,13 @@ def op3_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_encode.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = attention_quality.train(docs, _table(spark, sf_dir, "labels"))
+    scored = attention_quality.score(docs, model)
+    return scored.select("doc_id", attention_quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     starts = F.transform("places", lambda p: p["start"])
@@ -83,8 +95,10 @@ FROM l GROUP BY conv_id
 """
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_threshold_sketch": op2_threshold_sketch,
     "op3_piece_encode": op3_piece_encode,
+    "op5_attention_quality": op5_attention_quality,
     "op6_license_scan": op6_license_scan,
     "op8_residual_packing": op8_residual_packing,
     "op10_prefix_targets": op10_prefix_targets,
