@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.llm.common import attach, cut, lower_ascii
+from docloom.llm.common import BROADCAST_ROWS, attach, cut
 from docloom.llm.rolling import mixed
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -155,7 +155,7 @@ def _pairs(edges: DataFrame) -> DataFrame:
 def _with_component(rows: DataFrame, found: DataFrame | None, count: int) -> DataFrame:
     if found is None:
         return rows.withColumn("component", F.col("id"))
-    return attach(rows, found, ["id"], -(-count * 20_000 // IDS), "left").withColumn("component", F.coalesce("component", "id"))
+    return attach(rows, found, ["id"], -(-count * BROADCAST_ROWS // IDS), "left").withColumn("component", F.coalesce("component", "id"))
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, percent: int = 80, neighbour_rounds: int = 2, say=None) -> DataFrame:
@@ -178,8 +178,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, p
     held = cut(members.select("id").distinct())
     held_count = held.count()
     whole = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # Rows that share a key: the text that the class was made from is any of them with the set's size.
-    texts = cut(attach(whole, held, ["id"], -(-held_count * 20_000 // IDS)).groupBy("id").agg(F.min("text").alias("text")) if False else attach(whole, held, ["id"], -(-held_count * 20_000 // IDS)).dropDuplicates(["id"]))
+    # Rows that share a key may differ in text; any of them may stand for the key here.
+    texts = cut(attach(whole, held, ["id"], -(-held_count * BROADCAST_ROWS // IDS)).dropDuplicates(["id"]))
     say("classes", classes.count(), "members", members.count(), "held", held_count)
 
     edges, found, count = None, None, 0

@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import attention_quality, chat_format, license_scan, piece_encode, quality_rules, residual_packing, threshold_sketch
+from docloom.llm import (
+    attention_quality,
+    chat_format,
+    license_scan,
+    minhash_dedup,
+    parse_dedup,
+    piece_encode,
+    quality_rules,
+    residual_packing,
+    threshold_sketch,
+    wrapper_extract,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +48,10 @@ def op3_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_encode.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op4_wrapper_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper_extract.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = attention_quality.train(docs, _table(spark, sf_dir, "labels"))
@@ -59,12 +74,27 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.link(_table(spark, sf_dir, "documents"))
+
+
 def op8_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     pieces = residual_packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return residual_packing.pack(pieces, docs.count())
 
 
+def op9_parse_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = parse_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"]).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     rows = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -98,9 +128,12 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_threshold_sketch": op2_threshold_sketch,
     "op3_piece_encode": op3_piece_encode,
+    "op4_wrapper_extract": op4_wrapper_extract,
     "op5_attention_quality": op5_attention_quality,
     "op6_license_scan": op6_license_scan,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op8_residual_packing": op8_residual_packing,
+    "op9_parse_dedup": op9_parse_dedup,
     "op10_prefix_targets": op10_prefix_targets,
 }
 ORACLE_SQL = {"op10_prefix_targets": OP10_SQL}
