@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from docloom.functions.text import match_form, pattern
+from docloom.functions.text import let, match_form, pattern
 from docloom.plans.registry import LANGUAGE
 
 MAX_CLAIMS, MAX_TEXT, MAX_QUOTE, MAX_CITED, MIN_QUOTE_WORDS = 8, 400, 300, 3, 3
@@ -36,9 +36,12 @@ def words(text: Column) -> Column:
 
 def runs(text: Column, n: int = ECHO_WORDS) -> Column:
     """Distinct runs of n words."""
-    w = words(text)
-    starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " ")))
+
+    def made(w: Column) -> Column:
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " ")))
+
+    return let(words(text), made)
 
 
 def echoes(rows: DataFrame, against: DataFrame, key: str, other: str, n: int = ECHO_WORDS) -> DataFrame:

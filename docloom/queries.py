@@ -355,7 +355,7 @@ def sessions_6h(spark, sf_dir):
 
 
 def token_bucket(spark, sf_dir):
-    asked = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("client"), F.unix_millis(F.col("ts")).alias("now_ms"))
+    asked = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("client"), F.unix_millis(F.col("ts").cast("timestamp")).alias("now_ms"))
     return state.token_bucket(asked, 1)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def sessions(events: DataFrame, ttl_seconds: int, user: str = "user_id", ts: str = "ts") -> DataFrame:
     """user, session, started, ends, accesses: an access at or after the time to live from the one before begins a new session."""
     order = W.partitionBy(user).orderBy(ts)
-    micros = F.unix_micros(F.col(ts))
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     gap = micros - F.lag(micros).over(order)
     new = F.when(gap.isNull() | (gap >= ttl_seconds * 1_000_000), 1).otherwise(0)
     numbered = events.select(user, ts, new.alias("new")).withColumn("session", F.sum("new").over(order))
