@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import attach, cut
+from docloom.llm.common import cut, kept
 from docloom.llm.rolling import blocks, mixed, powers, prefix, runs
 
-GRAM = 64
-BLOCK = 8  # strings
+GRAM = 40
+BLOCK = 12  # strings
+#: Tables of one number a row are broadcast up to this counted size, at most 32 MB.
+NUMBERS = 1_000_000
 #: Tables with a list of ranges for each text are broadcast up to this counted number of ranges, at most 24 MB.
 RANGES = 1_000_000
 
@@ -115,71 +117,78 @@ def _copies(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "context long, gram long, once boolean, n int, trigger int, bytes binary")
 
 
-def _span_hashes(data: bytes, spans: list[tuple[int, int]], kind: int, places: list[int]) -> list[int]:
-    """Hashes of parts of a context; kind and place relative to the trigger are hashed with them."""
-    sums = prefix(np.frombuffer(data, np.uint8))
-    a, b = (np.array([s[k] for s in spans], np.int64) for k in (0, 1))
-    return mixed(runs(sums, a, b) ^ (np.array(places, np.uint64) << np.uint64(8)) ^ np.uint64(kind << 50)).view(np.int64).tolist()
+def _hashed(batch: pa.RecordBatch, row: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int, place: np.ndarray) -> np.ndarray:
+    """Hashes of ranges of the contexts of rows, with kind and place relative to the trigger."""
+    data = batch.column("bytes").to_pylist()
+    first = np.cumsum([0, *map(len, data)])[:-1]
+    sums = prefix(np.frombuffer(b"".join(data), np.uint8))
+    return mixed(runs(sums, first[row] + start, first[row] + end) ^ (place.astype(np.uint64) << np.uint64(8)) ^ np.uint64(kind << 50)).view(np.int64)
+
+
+def _each(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers repeated by their counts, and the place of each repetition."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _reach(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest distance of the trigger from the start of a context's strings."""
+    far = batch.column("trigger").to_numpy().astype(np.int64)
+    return far - batch.column("n").to_numpy() + 1, far
 
 
 def _block_keys(copies: DataFrame, length: int) -> DataFrame:
-    """context, gram, once, block, cover, key: hashes of cover and core of each block of strings."""
+    """context, what (2 * block, plus 1 for a cover), key: hashes of cover and core of each block of strings.
+
+    A cover is all that the context's strings of the block cover; a core is what all strings of the
+    block have in common, whichever of them a context has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("context", "gram", "once", "block", "cover", "key")}
-            for r in batch.to_pylist():
-                # A string's distance is the trigger's place in it; blocks are of distances.
-                near, far = r["trigger"] - r["n"] + 1, r["trigger"]
-                numbers = list(range(near // BLOCK, far // BLOCK + 1))
-                cover, core = [], []
-                for k in numbers:
-                    a, b = max(near, k * BLOCK), min(far, k * BLOCK + BLOCK - 1)
-                    cover.append((far - b, far - a + length))
-                    # The core of the whole block, of which each string of the block holds all.
-                    core.append((far - k * BLOCK, far - k * BLOCK - BLOCK + 1 + length))
-                places = [(far - c[0]) * 4096 + c[1] - c[0] for c in cover]
-                for kind, spans, at in ((1, cover, places), (2, core, numbers)):
-                    keys = _span_hashes(r["bytes"], spans, kind, at)
-                    for k, key in zip(numbers, keys, strict=True):
-                        for name, v in (("context", r["context"]), ("gram", r["gram"]), ("once", r["once"]), ("block", k), ("cover", kind == 1), ("key", key)):
-                            out[name].append(v)
-            types = {"context": pa.int64(), "gram": pa.int64(), "once": pa.bool_(), "block": pa.int32(), "cover": pa.bool_(), "key": pa.int64()}
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, types[k]) for k, v in out.items()})
+            near, far = _reach(batch)
+            row, k = _each(far // BLOCK - near // BLOCK + 1)
+            k += near[row] // BLOCK
+            a, b = np.maximum(near[row], k * BLOCK), np.minimum(far[row], k * BLOCK + BLOCK - 1)
+            cover = _hashed(batch, row, far[row] - b, far[row] - a + length, 1, b * 4096 + b - a)
+            core = _hashed(batch, row, far[row] - k * BLOCK, far[row] - k * BLOCK - BLOCK + 1 + length, 2, k)
+            context = batch.column("context").to_numpy()[row]
+            yield pa.RecordBatch.from_pydict({"context": pa.array(np.r_[context, context]), "what": pa.array(np.r_[2 * k + 1, 2 * k].astype(np.int32)), "key": pa.array(np.r_[cover, core])})
 
-    return copies.mapInArrow(run, "context long, gram long, once boolean, block int, cover boolean, key long")
+    return copies.select("context", "n", "trigger", "bytes").mapInArrow(run, "context long, what int, key long")
 
 
 def _string_keys(copies: DataFrame, length: int) -> DataFrame:
-    """context, once, distance, key of each single string of the blocks named in the column blocks."""
+    """context, distance, key of each single string of the blocks whose bits are set in asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("context", "once", "distance", "key")}
-            for r in batch.to_pylist():
-                near, far = r["trigger"] - r["n"] + 1, r["trigger"]
-                each = [d for k in r["blocks"] for d in range(max(near, k * BLOCK), min(far, k * BLOCK + BLOCK - 1) + 1)]
-                keys = _span_hashes(r["bytes"], [(far - d, far - d + length) for d in each], 3, each)
-                out["context"] += [r["context"]] * len(each)
-                out["once"] += [r["once"]] * len(each)
-                out["distance"] += each
-                out["key"] += keys
-            yield pa.RecordBatch.from_pydict({"context": pa.array(out["context"], pa.int64()), "once": pa.array(out["once"], pa.bool_()), "distance": pa.array(out["distance"], pa.int32()), "key": pa.array(out["key"], pa.int64())})
+            near, far = _reach(batch)
+            row, d = _each(far - near + 1)
+            d += near[row]
+            wanted = (batch.column("asked").to_numpy()[row] >> (d // BLOCK)) & 1 == 1
+            row, d = row[wanted], d[wanted]
+            key = _hashed(batch, row, far[row] - d, far[row] - d + length, 3, d)
+            yield pa.RecordBatch.from_pydict({"context": pa.array(batch.column("context").to_numpy()[row]), "distance": pa.array(d.astype(np.int32)), "key": pa.array(key)})
 
-    return copies.mapInArrow(run, "context long, once boolean, distance int, key long")
+    return copies.select("context", "n", "trigger", "bytes", "asked").mapInArrow(run, "context long, distance int, key long")
 
 
 def _open_ranges(copies: DataFrame, length: int) -> DataFrame:
-    """context, first, last: distances of the repeated strings of contexts that occur once."""
-    keys = cut(_block_keys(copies, length))
-    counted = keys.join(keys.groupBy("key").agg((F.count("*") > 1).alias("again")), "key")
-    state = cut(counted.groupBy("context", "gram", "once", "block").agg(F.max(F.when(F.col("cover"), F.col("again"))).alias("all"), F.max(F.when(~F.col("cover"), F.col("again"))).alias("some")))
+    """context, first, last: distances of the repeated strings of contexts that occur once.
+
+    Keys are made twice, to be counted and to be joined, as that costs less than to keep them.
+    """
+    facts = copies.select("context", "gram", "once")
+    again = _block_keys(copies, length).groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    met = _block_keys(copies, length).join(again, "key").groupBy("context", F.shiftright("what", 1).alias("block")).agg(F.max(F.col("what") % 2 == 1).alias("all"), F.max(F.col("what") % 2 == 0).alias("some"))
+    state = cut(met.join(facts, "context"))
     whole = state.where("once AND all").select("context", (F.col("block") * BLOCK).alias("first"), (F.col("block") * BLOCK + BLOCK - 1).alias("last"))
     unclear = state.where("once AND some AND NOT all").select("gram", "block").distinct()
-    asked = state.where("some").join(unclear, ["gram", "block"]).groupBy("context").agg(F.collect_list("block").alias("blocks"))
-    strings = cut(_string_keys(copies.join(asked, "context"), length))
-    again = strings.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    single = strings.where("once").join(again, "key").select("context", F.col("distance").alias("first"), F.col("distance").alias("last"))
+    asked = state.where("some").join(unclear, ["gram", "block"]).groupBy("context").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("block"))).alias("asked"))
+    chosen = kept(copies.join(asked, "context"))
+    twice = _string_keys(chosen, length).groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    single = _string_keys(chosen.where("once"), length).join(twice, "key").select("context", F.col("distance").alias("first"), F.col("distance").alias("last"))
     return whole.unionByName(single)
 
 
@@ -188,23 +197,29 @@ def repeated_spans(rows: DataFrame, length: int = 200, gram: int = GRAM, say=Non
 
     rows: key, mark, text; a text is told by key and mark together. All is counted on rows as given.
     """
+    if not 0 < length - gram < 255:
+        raise ValueError("length must be above gram by 1 to 254")
     say = say or (lambda *_: None)
     grams = parsed(rows, length, gram).groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
-    shared = cut(parsed(rows, length, gram).join(grams, "gram"))
-    contexts = cut(shared.groupBy("gram", "context").agg((F.count("*") == 1).alias("once"), F.min(F.struct("key", "mark", "place")).alias("at")))
-    mixed_grams = contexts.where("once").select("gram").distinct()
-    compared = contexts.join(mixed_grams, "gram").select("at.*", F.struct("at.place", "context", "gram", "once").alias("w"))
-    asked = cut(compared.groupBy("key", "mark").agg(F.collect_list("w").alias("wanted"), F.count("*").alias("k")))
-    total = asked.agg(F.sum("k")).first()[0] or 0
-    say("shared", shared.count(), "contexts", contexts.count(), "once", contexts.where("once").count(), "compared", total)
-    copies = cut(_copies(_with(rows, asked.select("key", "mark", "wanted"), total, "inner"), length))
+    shared = kept(parsed(rows, length, gram).join(grams, "gram"))
+    # A context's hash covers its gram, so it tells the context alone.
+    once = cut(shared.groupBy("gram", "context").agg(F.count("*").alias("k")).where("k = 1").select("gram", "context"))
+    count = once.count()
+    small = (lambda df: F.broadcast(df)) if count <= NUMBERS else (lambda df: df)
+    lone_rows = shared.join(small(once.select("context")), "context")
+    others = shared.join(small(once.select("context")), "context", "left_anti")
+    beside = others.join(small(once.select("gram").distinct()), "gram").groupBy("context").agg(F.min_by(F.struct("key", "mark", "place", "gram"), F.struct("key", "mark", "place")).alias("at")).select("context", "at.*")
+    compared = lone_rows.withColumn("once", F.lit(True)).unionByName(beside.withColumn("once", F.lit(False)))
+    asked = cut(compared.groupBy("key", "mark").agg(F.collect_list(F.struct("place", "context", "gram", "once")).alias("wanted")))
+    total = asked.agg(F.sum(F.size("wanted"))).first()[0] or 0
+    say("shared", shared.count(), "once", count, "compared", total)
+    copies = kept(_copies(_with(rows, asked, total, "inner"), length))
     ranges = _open_ranges(copies, length)
     start, n, trigger = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255), F.col("place").bitwiseAND(255)
-    settled = shared.join(contexts.where("NOT once").select("gram", "context"), ["gram", "context"]).select("key", "mark", F.struct(start.alias("a"), (start + n - 1 + length).alias("b")).alias("s"))
-    lone = contexts.where("once").select("context", "gram", "at.*").join(ranges, "context")
+    settled = others.select("key", "mark", F.struct(start.alias("a"), (start + n - 1 + length).alias("b")).alias("s"))
     near = trigger - n + 1
     first, last = F.greatest(F.col("first"), near), F.least(F.col("last"), trigger)
-    open_ = lone.select("key", "mark", F.struct((start + trigger - last).alias("a"), (start + trigger - first + length).alias("b")).alias("s"))
+    open_ = lone_rows.join(ranges, "context").select("key", "mark", F.struct((start + trigger - last).alias("a"), (start + trigger - first + length).alias("b")).alias("s"))
     return settled.unionByName(open_).groupBy("key", "mark").agg(F.collect_list("s").alias("spans"))
 
 
