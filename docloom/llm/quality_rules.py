@@ -212,8 +212,8 @@ def estimates(vectors: DataFrame, first_steps: int = 2, more_steps: int = 4) ->
         now = concentrate(vectors, now, n)
     now = cut(now.groupBy("g").agg(F.min_by(F.struct("s", "m", "v", "logdet"), F.struct("logdet", "s")).alias("e")).select("g", "e.*"))
     for k in range(more_steps):
-        now = concentrate(vectors, now, n // 2 + 1, last=k == more_steps - 1)
-    return now.select("g", "m", "v"), n // 2 + 1
+        now = concentrate(vectors, now, n // 2, last=k == more_steps - 1)
+    return now.select("g", "m", "v"), n // 2
 
 
 def judge(docs: DataFrame, text: str = "text", cutoff: float = CUTOFF, min_words: int = 10, repeat_percent: int = 20) -> DataFrame:
