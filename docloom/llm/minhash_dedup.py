@@ -4,10 +4,12 @@ Documents with equal shingle sets are one class from the start. Classes whose si
 band meet in a bucket. Pairs that meet are filtered by the share of equal minima, then confirmed on
 the full sets, and components grow by alternating large-star and small-star steps.
 
-The pairs of a bucket are never all written out. First each class is held against the bucket's first
-one, then against random neighbours in its buckets, each time only across the components found so
-far. After these linear rounds, only pairs of a bucket that still lie in different components are
-left; all of them are held against the filter, so no bucket has a cap and no link is lost to one.
+The pairs of a bucket are never written out. First each class is held against the bucket's first one,
+then against random neighbours in its buckets, each time only across the components found so far.
+After these linear rounds, only pairs of a bucket that still lie in different components are left.
+Such buckets are dealt out as cells of bounded blocks; in a cell all of these pairs are filtered and
+confirmed in place, each in the first band that it shares, and only the links leave it. So no bucket
+has a cap and no link is lost to one.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from docloom.llm.rolling import mixed
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BANDS, ROWS = 32, 5
+BLOCK = 512  # rows of a cell's side
 _draw = np.random.default_rng(20).integers
 #: Universal hashing by multiply and shift: odd factors and any offsets.
 FACTORS = _draw(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,6 +127,75 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return pairs.select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long")
 
 
+def _across(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """The links (a, b) across components within buckets. rows: band, nth (its number),
+    id, component, rest, wide, high, minima, text.
+
+    A bucket is a grid of cells, high blocks of its rest beside wide blocks of all its members; a row
+    of the rest goes to the cells of its line, and each member to the cells of its column.
+    """
+    column = F.pmod(F.xxhash64("id"), F.col("wide")).cast("int")
+    line = F.pmod(F.xxhash64("id", F.lit(1)), F.col("high")).cast("int")
+    cell = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    as_member = F.transform(F.sequence(F.lit(0), F.col("high") - 1), lambda i: cell(i, column, 1))
+    as_rest = F.when(F.col("rest"), F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda j: cell(line, j, 0))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
+    dealt = rows.withColumn("c", F.explode(F.concat(as_member, as_rest))).select("band", "c.i", "c.j", "c.side", "nth", "id", "component", "minima", "text")
+    order = ("band", "i", "j", "side", "id")
+    sorted_ = dealt.repartition("band", "i", "j").sortWithinPartitions(*order)
+
+    def links(cell_rows: list[dict], made: dict[int, frozenset]) -> Iterator[tuple[int, int]]:
+        rest = [r for r in cell_rows if r["side"] == 0]
+        every = [r for r in cell_rows if r["side"] == 1]
+        if not rest or not every:
+            return
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        def of(r: dict) -> frozenset:
+            if r["id"] not in made:
+                if len(made) > 4 * BLOCK:
+                    made.clear()
+                made[r["id"]] = frozenset(shingles(r["text"], n).tolist())
+            return made[r["id"]]
+
+        sigs = np.frombuffer(b"".join(r["minima"] for r in every), "<u2").reshape(len(every), -1)
+        for r in rest:
+            same = sigs == np.frombuffer(r["minima"], "<u2")
+            for k in np.flatnonzero(same.mean(1) >= ALIKE).tolist():
+                o = every[k]
+                if find(r["component"]) == find(o["component"]) or int(same[k].reshape(BANDS, ROWS).all(1).argmax()) != r["nth"]:
+                    continue
+                x, y = of(r), of(o)
+                both = len(x & y)
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    root[find(r["component"])] = find(o["component"])
+                    yield max(r["id"], o["id"]), min(r["id"], o["id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, frozenset] = {}
+        at, held = None, []
+
+        def batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+        for rows_ in batches:
+            out = []
+            for r in rows_.to_pylist():
+                key = (r["band"], r["i"], r["j"])
+                if key != at:
+                    out += links(held, made)
+                    at, held = key, []
+                held.append(r)
+            yield batch(out)
+        yield batch(list(links(held, made)))
+
+    return sorted_.mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """id, component (smallest id reachable) of each id in edges (a, b), by large-star and small-star.
 
@@ -172,7 +244,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, p
     base = cut(described(docs, key, text, n))
     usable = base.where(F.col("id").isNotNull() & F.col("same").isNotNull())
     classes = cut(usable.groupBy("same").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n_shingles", "minima", "bands"))))
-    placed = classes.select("id", F.explode("bands").alias("band"))
+    placed = classes.select("id", F.posexplode("bands").alias("nth", "band"))
     shared = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
     members = cut(placed.join(shared, "band"))
     held = cut(members.select("id").distinct())
@@ -184,9 +256,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, p
 
     edges, found, count = None, None, 0
 
-    def grow(pairs: DataFrame, name: str) -> None:
+    def grow(pairs: DataFrame, name: str, done: bool = False) -> None:
         nonlocal edges, found, count
-        new = cut(confirmed(pairs, texts, n, percent))
+        new = cut(pairs if done else confirmed(pairs, texts, n, percent))
         edges = new if edges is None else edges.unionByName(new)
         found = components(edges if found is None else new.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b"))))
         count = found.count()
@@ -203,21 +275,16 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, p
         met = dealt.withColumn("b", F.lead("id").over(w)).withColumn("other", F.lead("component").over(w))
         pairs = _pairs(met.where(F.col("component") != F.col("other")).select(F.col("id").alias("a"), "b"))
         grow(alike(pairs, classes).select("a", "b"), "neighbours")
-    # What is left: pairs of a bucket across components, of which one is not the bucket's largest.
+    # What is left: pairs of a bucket across components, of which one is not in the bucket's largest.
     now = cut(_with_component(members, found, count))
     parts = now.groupBy("band", "component").agg(F.count("*").alias("m"))
-    largest = parts.groupBy("band").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("k")).where("k > 1").select("band", F.col("top.component").alias("top"))
-    open_ = cut(now.join(largest, "band").select("band", "id", "component", "top"))
-    rest = open_.where("component != top")
-    say("open", open_.count(), "rest", rest.count())
-    left, right = rest.alias("l"), open_.alias("r")
-    across = left.join(right, F.expr("l.band = r.band AND l.component != r.component AND (r.component = r.top OR l.id < r.id)"))
-    pairs = cut(_pairs(across.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))))
-    near = cut(alike(pairs, classes).select("a", "b"))
-    say("pairs", pairs.count(), "near", near.count())
-    grow(near, "rest")
+    open_bands = parts.groupBy("band").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("k"), F.sum("m").alias("m")).where("k > 1")
+    sized = open_bands.select("band", F.col("top.component").alias("top"), F.ceil(F.col("m") / BLOCK).cast("int").alias("wide"), F.ceil((F.col("m") - F.col("top.m")) / BLOCK).cast("int").alias("high"))
+    facts = texts.join(classes.select("id", "minima"), "id")
+    open_ = now.join(sized, "band").select("band", "nth", "id", "component", "wide", "high", (F.col("component") != F.col("top")).alias("rest"))
+    grow(_across(open_.join(facts, "id"), n, percent), "rest", done=True)
 
     of_class = classes.select("same", "id").join(found, "id", "left").select("same", F.coalesce("component", "id").alias("component"))
     out = base.select("id", "n_shingles", "same").join(of_class, "same", "left")
-    component = F.coalesce("component", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -193,14 +193,15 @@ def _open_ranges(copies: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame, length: int = 200, gram: int = GRAM, say=None) -> DataFrame:
-    """key, mark, spans: for each text with repeated strings the byte ranges (a, b) they cover, in any order.
+    """key, mark, spans: for each text with repeated strings the maximal byte ranges (a, b) they cover, in order.
 
     rows: key, mark, text; a text is told by key and mark together. All is counted on rows as given.
     """
     if not 0 < length - gram < 255:
         raise ValueError("length must be above gram by 1 to 254")
     say = say or (lambda *_: None)
-    grams = parsed(rows, length, gram).groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
+    # Cut off from its sums, so that both sides of the join are dealt for it and a frequent gram can be split.
+    grams = cut(parsed(rows, length, gram).groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram"))
     shared = kept(parsed(rows, length, gram).join(grams, "gram"))
     # A context's hash covers its gram, so it tells the context alone.
     once = cut(shared.groupBy("gram", "context").agg(F.count("*").alias("k")).where("k = 1").select("gram", "context"))
@@ -220,7 +221,15 @@ def repeated_spans(rows: DataFrame, length: int = 200, gram: int = GRAM, say=Non
     near = trigger - n + 1
     first, last = F.greatest(F.col("first"), near), F.least(F.col("last"), trigger)
     open_ = lone_rows.join(ranges, "context").select("key", "mark", F.struct((start + trigger - last).alias("a"), (start + trigger - first + length).alias("b")).alias("s"))
-    return settled.unionByName(open_).groupBy("key", "mark").agg(F.collect_list("s").alias("spans"))
+    every = settled.unionByName(open_).groupBy("key", "mark").agg(F.collect_list("s").alias("spans"))
+    return every.mapInArrow(_merged_rows, "key long, mark int, spans array<struct<a:long,b:long>>")
+
+
+def _merged_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    for batch in batches:
+        runs_ = [[{"a": a, "b": b} for a, b in merged([(x["a"], x["b"]) for x in s])] for s in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs_, kind)], ["key", "mark", "spans"])
 
 
 def _with(rows: DataFrame, lists: DataFrame, total: int, how: str) -> DataFrame:
@@ -267,7 +276,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             sizes, gone, left = [], [], []
             for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 data = (t or "").encode("utf-8", "replace")
-                ranges = merged([(x["a"], x["b"]) for x in s or ()])
+                ranges = [(x["a"], x["b"]) for x in s or ()]
                 parts, last = [], 0
                 for a, b in ranges:
                     parts.append(data[last:a])
