@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -73,7 +75,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     Codes in the order of the checks: empty, too-large, unsupported, mismatch, encrypted, unreadable,
     too-complex, too-many-words, no-text.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content", declared_kind(F.col("path")).alias("kind"))
+    loaded = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    # A scan passes over files of no bytes, but the listing has them.
+    names = spark.createDataFrame([(re.sub("^([^/:]+:)///", r"\1/", unquote(p)),) for p in loaded.inputFiles()], "path string")
+    bare = names.join(loaded.select("path"), "path", "left_anti").select("path", F.lit(b"").alias("content"))
+    files = loaded.select("path", "content").unionByName(bare).select("path", "content", declared_kind(F.col("path")).alias("kind"))
 
     def one(data: bytes, kind: str | None) -> tuple[str | None, str | None]:
         found = sniff(data)
