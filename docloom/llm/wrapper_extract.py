@@ -3,8 +3,10 @@
 A page is a stream of tags and texts. Runs of equal groups of tokens fold into repeated groups. The
 streams of a host are aligned one after another: texts that differ become slots, groups that only one
 side has become optional, and groups that one side has more often become repeated. The wrapper tells
-template from content; the element that holds most of the slots' text, menus and the like left
-aside, is the host's article. A page's main text is then read from that element.
+template from content; the element that holds most of the slots' text and their main heading, menus
+and the like left aside, is the host's article. A page's main text is then read from that element,
+without blocks that are the same on the host's pages. Of a single page, or of pages that are mostly
+the same, nothing tells template from content; there all text counts.
 
 Pages are folded where they are; of each partition only distinct token streams go on, with sums of
 text lengths, so a host with a third of all pages is no larger for its task than any other.
@@ -13,9 +15,10 @@ text lengths, so a host with a third of all pages is no larger for its task than
 from __future__ import annotations
 
 import html
+import itertools
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -68,7 +71,9 @@ class Elements:
             for other in CLOSES.get(name, ()):
                 if other in self.names and not {"ul", "ol", "table", "dl"} & set(self.names[self._last(other) + 1 :]):
                     self.close(other)
-            if name not in VOID:
+            if name == "body":  # paths begin there, as in stream()
+                self.stack, self.names = [("body", True)], ["body"]
+            elif name not in VOID:
                 fine = (not self.stack or self.stack[-1][1]) and name not in ASIDE and not (said and ASIDE_WORD.search(said))
                 self.stack.append((f"{name}.{said}" if said else name, fine))
                 self.names.append(name)
@@ -98,10 +103,10 @@ def key(node: list) -> str:
     return "#" if node[0] == "X" else f"{node[0]}({' '.join(map(key, node[1]))})"
 
 
-def stream(page: str) -> list[list]:
-    """The nodes of a page from its body on, not yet folded."""
+def stream(page: str, seen: list[tuple[str, str, str]] | None = None) -> list[list]:
+    """The nodes of a page from its body on, not yet folded. seen: its tokens, where they are known."""
     out: list[list] = []
-    for kind, name, said in tokens(page):
+    for kind, name, said in tokens(page) if seen is None else seen:
         if kind == "text":
             text = " ".join(html.unescape(name).split())
             if text:
@@ -211,9 +216,12 @@ def expression(nodes: list[list]) -> str:
     return " ".join(n[1] if n[0] == "T" else (json.dumps(n[1], ensure_ascii=False) if n[1] is not None else "#PCDATA") if n[0] == "X" else said[n[0]].format(expression(n[1])) for n in nodes)
 
 
-def article(nodes: list[list]) -> list[str]:
-    """Path of the element that holds most of the text: the deepest with nine tenths of it, menus and the like left aside."""
-    mass: dict[tuple[str, ...], float] = {}
+def article(nodes: list[list], slots: bool = True) -> list[str]:
+    """Path of the element that holds most of the slots' text: the deepest with nine tenths of it and with their h1, menus and the like left aside.
+
+    Without slots, or of nodes that have none, all text counts.
+    """
+    mass: dict[bool, dict[tuple[str, ...], float]] = {True: {}, False: {}}
     open_ = Elements()
 
     def walk(ns: list[list]) -> None:
@@ -223,60 +231,68 @@ def article(nodes: list[list]) -> list[str]:
                 open_.see("close" if m[1] else "open", m[2], m[3] or "")
             elif n[0] == "X":
                 if open_.fine():
-                    mass[open_.path()] = mass.get(open_.path(), 0) + n[2]
+                    of = mass[n[1] is None]
+                    of[open_.path()] = of.get(open_.path(), 0) + n[2]
             else:
                 walk(n[1])
 
     walk(nodes)
-    total = sum(mass.values())
-    best: tuple[str, ...] = ()
-    for path in mass:
+    held = mass[True]
+    if not slots or not held:
+        held = {p: mass[True].get(p, 0) + mass[False].get(p, 0) for p in mass[True] | mass[False]}
+    total = sum(held.values())
+    below: dict[tuple[str, ...], float] = {}
+    for path, v in held.items():
         for k in range(1, len(path) + 1):
-            held = sum(v for p, v in mass.items() if p[:k] == path[:k])
-            if held >= 0.9 * total and k > len(best):
-                best = path[:k]
+            below[path[:k]] = below.get(path[:k], 0) + v
+    best = max((p for p, v in below.items() if v >= 0.9 * total), key=len, default=())
+    for path in held:
+        if any(k.split(".")[0] == "h1" for k in path):
+            best = tuple(x for x, y in itertools.takewhile(lambda z: z[0] == z[1], zip(best, path, strict=False)))
     # Never a single paragraph: the element around it.
     while best and best[-1].split(".")[0] in ("p", "b", "i", "em", "strong", "span", "a", "h1", "h2", "h3", "li"):
         best = best[:-1]
     return list(best)
 
 
-def constants(nodes: list[list]) -> list[str]:
-    """Texts of the template: the same wherever they stand on two pages or more, while some slot differs."""
+def constants(nodes: list[list], least: int = 2) -> list[str]:
+    """Texts of the template: the same wherever they stand, on least pages or more, while some slot differs. Texts in repeated groups stand several times on a page and don't count."""
     same, differ = [], False
-    todo = list(nodes)
+    todo = [(n, False) for n in nodes]
     while todo:
-        n = todo.pop()
+        n, repeated = todo.pop()
         if n[0] == "X":
             differ |= n[1] is None
-            if n[1] is not None and n[3] > 1:
+            if n[1] is not None and n[3] >= least and not repeated:
                 same.append(n[1])
         elif n[0] != "T":
-            todo += n[1]
+            todo += [(m, repeated or n[0] == "R") for m in n[1]]
     return sorted(set(same)) if differ else []
 
 
-def main_text(page: str, path: list[str]) -> str:
-    """Blocks of the page's article joined by line breaks; path is the host's article element."""
+def main_text(page: str, path: list[str], template: Collection[str] = ()) -> str:
+    """Blocks of the page's article joined by line breaks; path is the host's article element, template its constant texts."""
+    seen = list(tokens(page))
     for wanted in (path, None):
-        blocks, found = _blocks(page, wanted)
+        blocks, found = _blocks(seen, wanted, template)
         if found:
             return "\n".join(blocks)
     return ""
 
 
-def _blocks(page: str, path: list[str] | None) -> tuple[list[str], bool]:
+def _blocks(seen: list[tuple[str, str, str]], path: list[str] | None, template: Collection[str] = ()) -> tuple[list[str], bool]:
+    """Blocks of text in the element at path, or in all; whether it is there. Blocks that are template text as a whole are left out."""
     open_, blocks, found = Elements(), [], path is None
     part: list[str] = []
 
     def flush() -> None:
         text = " ".join("".join(part).split())
-        if text:
+        if text and not (template and (text in template or all(" ".join(t.split()) in template for t in part if t.strip()))):
             blocks.append(text)
         part.clear()
 
     n = len(path or ())
-    for kind, name, said in tokens(page):
+    for kind, name, said in seen:
         if kind == "text":
             if (path is None or [k for k, _ in open_.stack[:n]] == path) and open_.fine():
                 part.append(html.unescape(name))
@@ -295,43 +311,64 @@ def host(url: Column) -> Column:
 
 
 def _fold_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, shape, nodes: the distinct folded streams of a partition."""
-    seen: dict[tuple[str, str], list[list]] = {}
+    """SHAPES: the distinct folded streams of a partition, with their pages and characters of text; and the blocks that all of the host's pages in it share."""
+    seen: dict[tuple[str, str], list] = {}
+    common: dict[str, set[str]] = {}
 
     def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"host": [k[0] for k in seen], "shape": [k[1] for k in seen], "nodes": [json.dumps(v) for v in seen.values()]}, pa.schema([("host", pa.string()), ("shape", pa.string()), ("nodes", pa.string())]))
+        of = [(h, shape, json.dumps(nodes), pages, chars, sorted(common.get(h, ()))) for (h, shape), (nodes, pages, chars) in seen.items()]
+        kinds = pa.schema([("host", pa.string()), ("shape", pa.string()), ("nodes", pa.string()), ("pages", pa.int64()), ("chars", pa.int64()), ("common", pa.list_(pa.string()))])
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in of], f.type) for k, f in enumerate(kinds)], schema=kinds)
 
     for batch in batches:
         for h, page in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
-            nodes = folded(stream(page or ""))
+            read = list(tokens(page or ""))
+            nodes = folded(stream(page or "", read))
+            blocks = _blocks(read, None)[0]
+            if blocks:
+                common[h] = common[h] & set(blocks) if h in common else set(blocks)
             at = (h, " ".join(map(key, nodes)))
-            had = seen.get(at)
-            seen[at] = nodes if had is None else [united(x, y) for x, y in zip(had, nodes, strict=True)]
+            had, pages, chars = seen.get(at, (None, 0, 0))
+            seen[at] = [nodes if had is None else [united(x, y) for x, y in zip(had, nodes, strict=True)], pages + bool(blocks), chars + sum(map(len, blocks))]
         if len(seen) > 5000:
             yield rows()
             seen.clear()
+            common.clear()
     if seen:
         yield rows()
 
 
+def _common(frame: pd.DataFrame) -> list[str]:
+    """The blocks that all pages share. Rows without pages that have text say nothing of that."""
+    sets = [set(c) for c, n in zip(frame.common, frame.pages, strict=True) if n]
+    return sorted(set.intersection(*sets)) if sets else []
+
+
 def _one_shape(frame: pd.DataFrame) -> pd.DataFrame:
     made: list[list] | None = None
     for nodes in map(json.loads, frame.nodes):
         made = nodes if made is None else [united(x, y) for x, y in zip(made, nodes, strict=True)]
-    return pd.DataFrame({"host": frame.host[:1], "shape": frame["shape"][:1], "nodes": [json.dumps(made)]})
+    return pd.DataFrame({"host": frame.host[:1], "shape": frame["shape"][:1], "nodes": [json.dumps(made)], "pages": [frame.pages.sum()], "chars": [frame.chars.sum()], "common": [_common(frame)]})
 
 
 def _one_host(frame: pd.DataFrame) -> pd.DataFrame:
     made: list[list] | None = None
     for nodes in map(json.loads, frame.sort_values("shape").nodes):
         made = nodes if made is None else aligned(made, nodes)
-    return pd.DataFrame({"host": frame.host[:1], "wrapper": [expression(made)], "path": [article(made)], "template": [constants(made)]})
+    pages, common = int(frame.pages.sum()), _common(frame)
+    # Pages of which most text is the same are copies of each other, and so is their template no template.
+    told = pages > 1 and 2 * sum(map(len, common)) * pages < frame.chars.sum()
+    template = sorted({*common, *constants(made, max(2, -(-9 * pages // 10)))}) if told else []
+    return pd.DataFrame({"host": frame.host[:1], "wrapper": [expression(made)], "path": [article(made, told)], "template": [template]})
+
+
+SHAPES = "host string, shape string, nodes string, pages long, chars long, common array<string>"
 
 
 def infer(pages: DataFrame) -> DataFrame:
     """host, wrapper, path, template: one row for each host of pages (host, html)."""
-    shapes = pages.select("host", "html").mapInArrow(_fold_pages, "host string, shape string, nodes string")
-    once = shapes.groupBy("host", "shape").applyInPandas(_one_shape, "host string, shape string, nodes string")
+    shapes = pages.select("host", "html").mapInArrow(_fold_pages, SHAPES)
+    once = shapes.groupBy("host", "shape").applyInPandas(_one_shape, SHAPES)
     return once.groupBy("host").applyInPandas(_one_host, "host string, wrapper string, path array<string>, template array<string>")
 
 
@@ -340,20 +377,21 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
 
     A null or empty page has an empty text. Pages whose url is null or has no host share a wrapper. A
     page that lacks its host's article element is read from all its elements but menus and the like.
+    Blocks that all of a host's pages share, or that its wrapper has on nine tenths of them, are left out.
     Repeated rows have equal results; no rows give none; pages of any length are read whole. Columns
     named text or n_chars are replaced.
     """
     pages = pages.drop("text", "n_chars").withColumn("_host", host(F.col(url)))
     wrappers = cut(infer(pages.select(F.col("_host").alias("host"), F.col(page).alias("html"))))
-    known = wrappers.select(F.col("host").alias("_host"), F.col("path").alias("_path"))
+    known = wrappers.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("template").alias("_template"))
     joined = attach(pages, known, ["_host"], wrappers.count(), "left").drop("_host")
-    names = joined.columns[:-1]
+    names = joined.columns[:-2]
     at = names.index(page)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(t or "", p or []) for t, p in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
+            texts = [main_text(t or "", p or [], frozenset(c or ())) for t, p, c in zip(*(batch.column(k).to_pylist() for k in (at, len(names), len(names) + 1)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema[:-1])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema[:-2])
     return joined.mapInArrow(run, f"{fields}, text string, n_chars long")

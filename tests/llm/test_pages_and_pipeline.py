@@ -36,6 +36,21 @@ def test_wrapper_is_a_union_free_expression():
     assert "( <i> \"new\" </i> )?" in w.expression(optional)
 
 
+def test_template_text_is_left_out(spark):
+    """Texts that are the same on all pages of a host go, though no tag or class tells; the wrapper's article is what is read."""
+    body = '<html><body class="x"><div><h2>Host name</h2></div><div class="text"><h1>Title {0}</h1><p>First {0} of some length.</p><p>Second {0}, <a>here</a> too.</p><p>We ask <a>here</a> for consent.</p><div>By the editor</div></div><div><i>Seen {0:.2}</i></div></body></html>'
+    rows = [(i, "http://h.example/a", body.format(f"{i} " * 9 * (i + 1))) for i in range(4)] + [(9, "http://h.example/b", "")]
+    alone = [(20 + i, f"http://alone{i}.example/", body.format("of one page")) for i in range(2)]
+    copies = [(30 + i, "http://copies.example/", body.format("of copies")) for i in range(3)]
+    pages = spark.createDataFrame(rows + alone + copies, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text.split("\n") for r in w.extract(pages).collect()}
+    for i in range(4):
+        said = " ".join([str(i)] * 9 * (i + 1))
+        assert got[i] == [f"Title {said}", f"First {said} of some length.", f"Second {said} , here too."]
+    for i in (20, 21, 30, 31, 32):
+        assert {"By the editor", "We ask here for consent."} <= set(got[i])
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     folder = "/root/testdata/sf0.001"
