@@ -1,10 +1,11 @@
 """License scans by a positional index of rare licence words, in DataFrame operations only.
 
 The templates' words, without function words, form the licence vocabulary. Their document
-frequencies over all files give each word's IDF. A file is looked up by its few licence words of
-highest IDF: each place of such a word, less the word's place in a template, proposes a start of that
-template; starts that the postings of two of these words share are kept. Such a start counts
-when the template's mandatory key phrase stands at its place, word for word.
+frequencies over all files give each word's IDF. Each template is looked up by the words of highest
+IDF of its mandatory key phrase: each place of the first of them, less the word's place in the
+template, proposes a start; starts that the postings of the others share are kept. Such a start
+counts when the key phrase stands at its place, word for word. A key phrase that stands in a file
+has all of these words in their places, so no template and no place is missed.
 """
 
 from __future__ import annotations
@@ -68,18 +69,20 @@ def scan(docs: DataFrame, text: str = "text", rare_words: int = 4, counts: tuple
     places lists (start, label) of the base phrases in order of start; base_labels and labels are
     sorted arrays without repeats; score is the best share of a verified template's words that stand
     where the template has them, 0.0 without one. A null or empty text has no words, no places and
-    no labels. Ties in IDF go by the word. rare_words licence words of a file are looked up at all
-    of their places; texts are never cut. Columns of docs that clash with these names are replaced.
+    no labels. Ties in IDF go by the word. rare_words licence words of each template's key phrase (one
+    at least) are looked up at all of their places; texts are never cut. Columns of docs that clash with these names are replaced.
     """
     frequency, n = counts or document_frequency(docs, text)
     idf = {w: math.log((n + 1) / (frequency.get(w, 0) + 1)) for w in vocabulary()}
-    ranked = sorted(idf, key=lambda w: (-idf[w], w))
-    postings: dict[str, list[tuple[int, int]]] = {w: [] for w in ranked}
-    for k, (_, said, _) in enumerate(TEMPLATES):
-        for at, w in enumerate(said.split()):
-            if w in postings:
-                postings[w].append((k, at))
-    index = F.create_map(*(x for w in ranked for x in (F.lit(w), F.array(*(F.struct(F.lit(k).alias("t"), F.lit(at).alias("at")) for k, at in postings[w])))))
+    places_of: list[list[tuple[int, str]]] = []  # of each template its looked-up words, the rarest first, with their places
+    for _, said, key in TEMPLATES:
+        at, rare = len(said[: f" {said} ".index(f" {key} ")].split()), sorted(set(key.split()) - FUNCTION_WORDS, key=lambda w: (-idf[w], w))
+        places_of.append([(at + key.split().index(w), w) for w in rare[: max(1, rare_words)]])
+    postings: dict[str, list[tuple[int, int]]] = {}
+    for k, ((at, w), *_) in enumerate(places_of):
+        postings.setdefault(w, []).append((k, at))
+    index = F.create_map(*(x for w in postings for x in (F.lit(w), F.array(*(F.struct(F.lit(k).alias("t"), F.lit(at).alias("at")) for k, at in postings[w])))))
+    rarest = F.array(*(F.array(*(F.struct(F.lit(at).alias("at"), F.lit(w).alias("x")) for at, w in of)) for of in places_of))
     said = F.array(*(_array_of(t.split()) for _, t, _ in TEMPLATES))
     must = F.array(*(_array_of(p.split()) for _, _, p in TEMPLATES))
     must_at = _array_of([len(t[: f" {t} ".index(f" {p} ")].split()) for _, t, p in TEMPLATES])
@@ -94,29 +97,28 @@ def scan(docs: DataFrame, text: str = "text", rare_words: int = 4, counts: tuple
         return F.size(F.filter(right, lambda ok: ok)) / F.size(right)
 
     def proposals(w: Column, rare: Column) -> Column:
-        """Each place of a rare word proposes starts of the templates that hold the word."""
+        """Each place of a template's rarest word proposes a start of the template."""
         hits = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda h: F.array_contains(rare, h["x"]))
         return F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(index, h["x"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["at"]).alias("start")))))
 
-    def shared(proposed: Column, rare: Column, p: Column) -> Column:
-        """Of the looked-up words in the key phrase, two (or the only one) propose this same start."""
-        votes = F.size(F.filter(proposed, lambda q: (q["t"] == p["t"]) & (q["start"] == p["start"])))
-        return votes >= F.least(F.lit(2), F.size(F.array_intersect(rare, F.get(must, p["t"]))))
+    def shared(w: Column, p: Column) -> Column:
+        """The template's other looked-up words propose this same start."""
+        return F.forall(F.get(rarest, p["t"]), lambda r: F.coalesce(F.get(w, p["start"] + r["at"]) == r["x"], F.lit(False)))
 
-    def aligned(w: Column, rare: Column, proposed: Column) -> Column:
-        kept = F.filter(F.filter(F.array_distinct(proposed), lambda p: shared(proposed, rare, p)), lambda p: stands(w, p))
+    def aligned(w: Column, rare: Column) -> Column:
+        kept = F.filter(F.filter(proposals(w, rare), lambda p: shared(w, p)), lambda p: stands(w, p))
         return F.transform(kept, lambda p: F.struct(F.get(names, p["t"]).alias("label"), share(w, p).alias("share")))
 
     def found(w: Column, rare: Column) -> Column:
         nothing = F.array().cast("array<struct<label:string,share:double>>")
-        return F.when(F.size(rare) > 0, let(proposals(w, rare), lambda proposed: aligned(w, rare, proposed))).otherwise(nothing)
+        return F.when(F.size(rare) > 0, aligned(w, rare)).otherwise(nothing)
 
     def base(w: Column) -> Column:
         places = F.flatten(F.array(*(_phrase_places(w, phrase.split(), label) for phrase, label in PHRASES)))
         return F.when(F.array_contains(w, "license"), F.array_sort(places)).otherwise(F.array().cast("array<struct<start:int,label:string>>"))
 
     def result(w: Column) -> Column:
-        rare = F.slice(F.array_intersect(_array_of(ranked), w), 1, rare_words)
+        rare = F.array_intersect(_array_of(list(postings)), w)
         return F.struct(F.size(w).cast("long").alias("n_words"), base(w).alias("places"), let(rare, lambda r: found(w, r)).alias("found"))
 
     out = docs.withColumn("_scan", let(words(F.col(text)), result))

@@ -86,6 +86,26 @@ def test_licences(spark):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_licences_of_a_file_with_several(spark):
+    """All templates whose key phrase stands in a file are found, with the best share of any of their places."""
+    texts = [t for _, t, _ in license_scan.TEMPLATES]
+    said = [f"{texts[1]}. Licensed under the Apache License, Version 2.0. Licensed under CC BY 4.0", ". ".join(texts), " x ".join(k for _, _, k in license_scan.TEMPLATES), "mit license. x Released under the MIT license", "cc by sa 4 0 cc by cc by 4 0"]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    for most in (4, 1):
+        got = {r.doc_id: r for r in license_scan.scan(docs, rare_words=most).collect()}
+        for i, t in enumerate(said):
+            words = [w for w in re.split(license_scan.SPLIT, t.lower()) if w]
+            labels, score = set(got[i].base_labels), 0.0
+            for label, text, phrase in license_scan.TEMPLATES:
+                at = len(text[: f" {text} ".index(f" {phrase} ")].split())
+                for k in range(len(words)):
+                    if words[k : k + len(phrase.split())] == phrase.split():
+                        labels.add(label)
+                        score = max(score, sum(0 <= k - at + j < len(words) and words[k - at + j] == x for j, x in enumerate(text.split())) / len(text.split()))
+            assert got[i].labels == sorted(labels) and abs(got[i].score - score) < 1e-12
+        assert {"mit-text", "apache-2.0", "cc-by-4.0"} <= set(got[0].labels) and got[3].score == 1.0
+
+
 def test_chat_round_trip(spark):
     draw = random.Random(8)
     bits = ["<|im_end|>", "<|", "\\", "|>", "\n", "<\\|", "<\\n|", "é", "ok", "<|im_start|>assistant\n"]
