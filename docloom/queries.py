@@ -415,16 +415,21 @@ def packet_text(spark, sf_dir):
 
 
 def layout_paragraphs(spark, sf_dir):
-    """Runs laid out from line items, a page for each order, back to paragraphs: one for each part of the order."""
-    items = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4")
+    """Runs laid out from line items, a page for each order, back to paragraphs: one for each line item of the order.
+
+    Line numbers repeat in an order, so its items are counted through.
+    """
+    items = table(spark, sf_dir, "lineitem")
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", *(c for c in items.columns if c not in ("l_orderkey", "l_linenumber")))
+    items = items.withColumn("n", F.row_number().over(order))
     words = F.split(F.concat(F.lit("Part "), F.col("l_partkey").cast("string"), F.lit(" is sent under flag "), F.col("l_returnflag")), " ")
-    each = items.select("l_orderkey", "l_linenumber", F.posexplode(words).alias("w", "str"))
+    each = items.select("l_orderkey", "n", F.posexplode(words).alias("w", "str"))
     runs = each.select(
-        F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), (F.col("l_linenumber") * 100 + F.col("w")).alias("seq"), "str",
-        (50.0 + 40.0 * (F.col("w") % 4)).alias("x"), (800.0 - 40.0 * F.col("l_linenumber") - 12.0 * F.floor(F.col("w") / 4)).alias("y"),
+        F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), (F.col("n") * 100 + F.col("w")).alias("seq"), "str",
+        (50.0 + 40.0 * (F.col("w") % 4)).alias("x"), (800.0 - 40.0 * F.col("n") - 12.0 * F.floor(F.col("w") / 4)).alias("y"),
         F.lit(0).alias("angle"), F.lit(10.0).alias("size"), F.lit(30.0).alias("width"), F.lit(False).alias("rtl"), (F.col("w") % 4 == 3).alias("has_eol"),
     )
-    return positioned.paragraphs(positioned.lines(runs.dropDuplicates(["doc_id", "seq"]))).select("doc_id", "paragraph_index", "text")
+    return positioned.paragraphs(positioned.lines(runs)).select("doc_id", "paragraph_index", "text")
 
 
 QUERIES = {

@@ -6,6 +6,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from docloom import queries
 from docloom.functions.text import clause_label
 from docloom.operators import claims, compare, evidence, flow, packet, paragraphs, retrieval, rules
 from docloom.plans.registry import RULES
@@ -135,6 +136,13 @@ def test_files(spark, tmp_path):
     assert files.paragraphs(files.read(spark, str(tmp_path))).count() == 4
 
 
+def test_layout_of_all_line_items(spark, tmp_path):
+    items = [(o, o * 100 + k, o * 7 + k, n, "NRA"[k % 3]) for o in (1, 2) for k, n in enumerate((1, 1, 2, 4, 5, 6, 7, 7))] + [(3, 5, 5, 7, "N")]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = queries.layout_paragraphs(spark, str(tmp_path)).orderBy("doc_id", "paragraph_index").collect()
+    assert [(r.doc_id, r.text) for r in got] == [(o, f"Part {p} is sent under flag {f}") for o, p, _, _, f in items]
+
+
 def test_layout(spark):
     words = [("Hello", 50, 700, False), ("world", 90, 700, True), ("again", 50, 688, True), ("New", 50, 640, True)]
     runs = spark.createDataFrame([(1, 1, i, s, float(x), float(y), 0, 10.0, 30.0, False, e) for i, (s, x, y, e) in enumerate(words)], "doc_id long, page int, seq int, str string, x double, y double, angle int, size double, width double, rtl boolean, has_eol boolean")
