@@ -64,6 +64,17 @@ def stages(spark):
     return out
 
 
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    """Also where the rows of a group share a doc_id or have none."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(90))
+    rows = [(5, text(0)), (5, text(0)), (None, text(1)), (None, text(1)), (None, text(1) + " more"), (7, text(2)), (3, text(2)), (None, text(2)), (8, text(3)), (8, text(4)), (9, ""), (9, None)]
+    docs = spark.createDataFrame([(k, t, "en", "web", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert tuple(got.columns) == corpus_pipeline.COLUMNS
+    left = [(r.doc_id, (r.text or "").split(" ")[0]) for r in got.collect()]
+    assert sorted(left, key=str) == sorted([(5, "w0x0"), (None, "w1x0"), (3, "w2x0"), (8, "w3x0"), (8, "w4x0"), (9, ""), (9, "")], key=str)
+
+
 def corpus_pipeline_kept(df):
     from docloom.llm.common import kept
 
