@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import attach, cut
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|title)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|([^<]+|<)""",
+    r"""<!--.*?(?:-->|\Z)|<(?:svg|iframe)\b(?:"[^"]*"|'[^']*'|[^'">])*/>|<(script|style|noscript|template|textarea|svg|iframe|select|title)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|([^<]+|<)""",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -37,8 +37,10 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 BLOCK = frozenset("address article aside blockquote body br dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that never hold main text.
 ASIDE = frozenset("nav header footer aside form menu button dialog head fieldset label input option".split())
-#: Words of class, id or role that mark menus, notices, adverts, shares and comments.
-ASIDE_WORD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookie\w*|consent|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Layout elements, whose class words say what is beside the text and not what they hold.
+LAYOUT = frozenset("html body main article".split())
+#: Names of a class, id or role, as a whole, that mark menus, notices, adverts, shares and comments.
+ASIDE_WORD = re.compile(r"(?:^|\s)(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookie\w*|consent|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|\s)", re.I)
 #: A tag that opens closes an open element of these kinds first.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 BODY = 12  # nodes in a repeated group at most; a group within counts as one
@@ -60,7 +62,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 class Elements:
     """The open elements while a page's tokens go by."""
 
-    def __init__(self) -> None:
+    def __init__(self, words: bool = True) -> None:
+        self.words = words  # whether class words mark what is aside
         self.stack: list[tuple[str, bool]] = []  # key, whether main text can stand in it
         self.names: list[str] = []
 
@@ -74,7 +77,7 @@ class Elements:
             if name == "body":  # paths begin there, as in stream()
                 self.stack, self.names = [("body", True)], ["body"]
             elif name not in VOID:
-                fine = (not self.stack or self.stack[-1][1]) and name not in ASIDE and not (said and ASIDE_WORD.search(said))
+                fine = (not self.stack or self.stack[-1][1]) and name not in ASIDE and not (self.words and said and name not in LAYOUT and ASIDE_WORD.search(said))
                 self.stack.append((f"{name}.{said}" if said else name, fine))
                 self.names.append(name)
         elif kind == "close" and name in self.names:
@@ -275,14 +278,14 @@ def main_text(page: str, path: list[str], template: Collection[str] = ()) -> str
     seen = list(tokens(page))
     for wanted in (path, None):
         blocks, found = _blocks(seen, wanted, template)
-        if found:
+        if found and blocks:
             return "\n".join(blocks)
-    return ""
+    return "\n".join(_blocks(seen, None, template, words=False)[0])
 
 
-def _blocks(seen: list[tuple[str, str, str]], path: list[str] | None, template: Collection[str] = ()) -> tuple[list[str], bool]:
+def _blocks(seen: list[tuple[str, str, str]], path: list[str] | None, template: Collection[str] = (), words: bool = True) -> tuple[list[str], bool]:
     """Blocks of text in the element at path, or in all; whether it is there. Blocks that are template text as a whole are left out."""
-    open_, blocks, found = Elements(), [], path is None
+    open_, blocks, found = Elements(words), [], path is None
     part: list[str] = []
 
     def flush() -> None:
@@ -376,7 +379,8 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
     """The columns of pages with text and n_chars: the main text of each page.
 
     A null or empty page has an empty text. Pages whose url is null or has no host share a wrapper. A
-    page that lacks its host's article element is read from all its elements but menus and the like.
+    page that lacks its host's article element, or has no text in it, is read from all its elements but
+    menus and the like; where class words leave nothing of it, from all but elements such as nav.
     Blocks that all of a host's pages share, or that its wrapper has on nine tenths of them, are left out.
     Repeated rows have equal results; no rows give none; pages of any length are read whole. Columns
     named text or n_chars are replaced.

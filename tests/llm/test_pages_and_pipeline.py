@@ -51,6 +51,12 @@ def test_template_text_is_left_out(spark):
         assert {"By the editor", "We ask here for consent."} <= set(got[i])
 
 
+@pytest.mark.parametrize("tag", ['<body class="has-comments post">', '<article class="post with-sidebar">', '<div class="single no-sidebar">', '<div class="layout fixed-header">', '<main class="widget">', '<div id="sidebar">'])
+def test_class_words_of_a_layout_never_drop_the_article(tag):
+    page = f'{tag}<h1>Title</h1><p>a</p><svg width="1"/><p>b</p><iframe src="x"/><p>c</p><svg><text>no</text></svg><nav>no</nav></{tag[1:].split()[0]}>'
+    assert w.main_text(page, w.article(w.folded(w.stream(page)))).split("\n") == ["Title", "a", "b", "c"]
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     folder = "/root/testdata/sf0.001"
