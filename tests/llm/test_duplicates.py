@@ -50,8 +50,8 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch):
     texts = near_copies()
     want, sizes = brute(texts, 4)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("id", F.lit("clash"))
-    for rounds in (2, 0):
-        got = minhash_dedup.link(docs, neighbour_rounds=rounds).orderBy("doc_id").collect()
+    for hubs in (True, False):
+        got = minhash_dedup.link(docs, hubs=hubs).orderBy("doc_id").collect()
         assert [r.component_id for r in got] == want and [r.n_shingles for r in got] == sizes
         assert [r.kept for r in got] == [i == w for i, w in enumerate(want)]
 
@@ -77,7 +77,7 @@ def test_components(spark):
     for a, b in edges:
         x, y = sorted((find(a), find(b)))
         root[y] = x
-    got = {r.id: r.component for r in minhash_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.id: r.component for r in minhash_dedup.components(spark.createDataFrame(edges, "a long, b long"), len(edges))[0].collect()}
     assert all(got.get(i, i) == find(i) for i in list(root))
 
 
