@@ -2,24 +2,27 @@
 
 Every string of ``length`` bytes has one trigger: the place in it whose ``gram`` bytes have the least
 rolling hash (the first of equals). It depends on the string alone, so equal strings have equal
-triggers at equal places. The triggers cut a text into phrases; the strings of one trigger start at
-neighbouring places, and the bytes that they cover are the phrase's context. The corpus becomes a
-parse (a row for each trigger of each text) over a dictionary (the distinct contexts):
+triggers at equal places. The triggers cut a text into phrases. The strings of one trigger start at
+neighbouring places within the phrase before it, and the bytes that they cover are the trigger's
+context: a suffix of that phrase, then the parse from the trigger on. The corpus becomes a parse (a
+row for each trigger of each text) over a dictionary (the distinct contexts):
 
 1. a trigger whose gram stands nowhere else in the corpus ends here: its strings are unique;
 2. a context that occurs twice or more is settled: all of its strings are repeated;
-3. only contexts that occur once but share their gram are compared string by string, one copy of
-   each distinct context. First blocks of neighbouring strings: a block whose cover is repeated is
-   repeated as a whole, one whose core is unique is unique as a whole. Then single strings of the
-   blocks that are left.
-
-Only equality of ``length``-byte prefixes matters, so the classes of equal prefixes in corpus order
-are found by hash, without a suffix array; texts leave their partition only where the tables of
-ranges are too large to broadcast. Hashes have 64 bits.
+3. contexts that occur once but share their gram go through suffix arrays, one copy of each distinct
+   context. The parse's suffixes (the bytes from the trigger on) are sorted, and so are the
+   dictionary's (the bytes before it, from the trigger backwards), each with the common prefixes of
+   neighbours. For every distance from the trigger the ranks in both arrays combine into the order of
+   the corpus; strings are equal where both ranks are. So these are compared byte by byte.
+
+The two arrays of a trigger are sorted in one task up to ``CHUNK`` contexts. More are dealt over
+several; what stands once in its part is then counted over all parts by its digest. Contexts are told
+by two independent 64-bit hashes, digests have 128 bits.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,23 +30,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, kept
-from docloom.llm.rolling import blocks, mixed, powers, prefix, runs
+from docloom.llm.common import BROADCAST_NUMBERS, Tables, attach, slices
+from docloom.llm.rolling import OTHER_BYTES, blocks, mixed, powers, prefix, runs
 
 GRAM = 40
-BLOCK = 12  # strings
-#: Tables of one number a row are broadcast up to this counted size, at most 32 MB.
-NUMBERS = 1_000_000
-#: Tables with a list of ranges for each text are broadcast up to this counted number of ranges, at most 24 MB.
-RANGES = 1_000_000
+CHUNK = 4096  # contexts of one trigger in a task
+BATCH = 4096  # contexts of several triggers that are sorted together, about
+#: Tables with a list of ranges for each text are broadcast up to this counted number of ranges, at most 12 MB.
+RANGES = 250_000
 
 
-def parse(texts: list[bytes], length: int = 200, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """One row for each trigger: doc (index), gram and context hashes, start, n strings, trigger less start."""
+def parse(texts: list[bytes], length: int = 200, gram: int = GRAM, told: bool = True) -> dict[str, np.ndarray]:
+    """One row for each trigger: doc (index), gram, context and check hashes, start, n strings, trigger less start.
+
+    Without told, doc and gram only.
+    """
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    empty = {k: np.zeros(0, np.int64) for k in ("doc", "gram", "context", "start", "n", "trigger")}
+    empty = {k: np.zeros(0, np.int64) for k in ("doc", "gram", "context", "check", "start", "n", "trigger")}
     if len(data) < length:
         return empty
     sums = prefix(data)
@@ -71,163 +76,200 @@ def parse(texts: list[bytes], length: int = 200, gram: int = GRAM) -> dict[str,
     new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(trigger) != 0)])
     low, high, trigger = at[new], at[np.r_[new[1:] - 1, len(at) - 1]], trigger[new]
     doc = np.searchsorted(ends, low, side="right")
+    if not told:
+        return {"doc": doc, "gram": hashed[trigger].view(np.int64)}
     count, off = high - low + 1, trigger - low
-    context = mixed(runs(sums, low, high + length) ^ (count.astype(np.uint64) << np.uint64(40)) ^ (off.astype(np.uint64) << np.uint64(20)))
-    return {"doc": doc, "gram": hashed[trigger].view(np.int64), "context": context.view(np.int64), "start": low - (ends - sizes)[doc], "n": count, "trigger": off}
+    form = (count.astype(np.uint64) << np.uint64(40)) ^ (off.astype(np.uint64) << np.uint64(20))
+    context, check = (mixed(runs(x, low, high + length) ^ form).view(np.int64) for x in (sums, prefix(data, OTHER_BYTES)))
+    return {"doc": doc, "gram": hashed[trigger].view(np.int64), "context": context, "check": check, "start": low - (ends - sizes)[doc], "n": count, "trigger": off}
+
+
+def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The batches in parts whose texts are of bounded size together, or of one row."""
+    for batch in (part for whole in batches for part in slices(whole)):
+        texts = [(t or "").encode("utf-8", "replace") for t in batch.column(column).to_pylist()]
+        for a, b in blocks([len(t) for t in texts], 1 << 18):
+            yield batch.slice(a, b - a), texts[a:b]
+
+
+def grams(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """gram of each trigger. rows: key, mark, text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _texts(batches, 0):
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(parse(texts, length, gram, told=False)["gram"])})
 
-def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
-    texts = [(t or "").encode("utf-8", "replace") for t in batch.column(column).to_pylist()]
-    for a, b in blocks([len(t) for t in texts]):
-        yield a, texts[a:b]
+    return rows.select("text").mapInArrow(run, "gram long")
 
 
 def parsed(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """key, mark, gram, context, place of each trigger. rows: key, mark, text.
+    """key, mark, gram, context, check, place of each trigger. rows: key, mark, text.
 
-    place holds start * 2**16 + n * 2**8 + (trigger less start).
+    place holds start * 2**16 + n * 2**8 + (trigger less start). A null text has no triggers, nor has
+    one shorter than length. Repeated rows give repeated rows; no rows none; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, texts in _texts(batch, 2):
-                made = parse(texts, length, gram)
-                take = pa.array(made["doc"] + first, pa.int64())
-                place = (made["start"] << 16) | (made["n"] << 8) | made["trigger"]
-                yield pa.RecordBatch.from_pydict({"key": batch.column(0).take(take), "mark": batch.column(1).take(take), "gram": pa.array(made["gram"]), "context": pa.array(made["context"]), "place": pa.array(place)})
+        for batch, texts in _texts(batches, 2):
+            made = parse(texts, length, gram)
+            take = pa.array(made["doc"], pa.int64())
+            place = (made["start"] << 16) | (made["n"] << 8) | made["trigger"]
+            yield pa.RecordBatch.from_pydict({"key": batch.column(0).take(take), "mark": batch.column(1).take(take), "gram": pa.array(made["gram"]), "context": pa.array(made["context"]), "check": pa.array(made["check"]), "place": pa.array(place)})
+
+    return rows.select("key", "mark", "text").mapInArrow(run, "key long, mark long, gram long, context long, check long, place long")
+
 
-    return rows.mapInArrow(run, "key long, mark int, gram long, context long, place long")
+COPY = "key long, mark long, gram long, context long, once boolean, place long, bytes binary"
 
 
 def _copies(rows: DataFrame, length: int) -> DataFrame:
-    """context, gram, once, n, trigger, bytes of each wanted context. rows: key, mark, text, wanted."""
+    """The bytes of each wanted context with the place where they were read. rows: key, mark, text, wanted."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+    names = [f.split()[0] for f in COPY.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("context", "gram", "once", "n", "trigger", "bytes")}
-            for t, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+        for batch in (part for whole in batches for part in slices(whole)):
+            out: list[tuple] = []
+            for key, mark, t, wanted in zip(*(batch.column(c).to_pylist() for c in ("key", "mark", "text", "wanted")), strict=True):
                 data = (t or "").encode("utf-8", "replace")
                 for w in wanted:
-                    start, n, trigger = w["place"] >> 16, w["place"] >> 8 & 255, w["place"] & 255
-                    for k, v in (("context", w["context"]), ("gram", w["gram"]), ("once", w["once"]), ("n", n), ("trigger", trigger), ("bytes", data[start : start + n - 1 + length])):
-                        out[k].append(v)
-            types = {"context": pa.int64(), "gram": pa.int64(), "once": pa.bool_(), "n": pa.int32(), "trigger": pa.int32(), "bytes": pa.binary()}
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, types[k]) for k, v in out.items()})
-
-    return rows.mapInArrow(run, "context long, gram long, once boolean, n int, trigger int, bytes binary")
-
-
-def _hashed(batch: pa.RecordBatch, row: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int, place: np.ndarray) -> np.ndarray:
-    """Hashes of ranges of the contexts of rows, with kind and place relative to the trigger."""
-    data = batch.column("bytes").to_pylist()
-    first = np.cumsum([0, *map(len, data)])[:-1]
-    sums = prefix(np.frombuffer(b"".join(data), np.uint8))
-    return mixed(runs(sums, first[row] + start, first[row] + end) ^ (place.astype(np.uint64) << np.uint64(8)) ^ np.uint64(kind << 50)).view(np.int64)
+                    start, n = w["place"] >> 16, w["place"] >> 8 & 255
+                    out.append((key, mark, w["gram"], w["context"], w["once"], w["place"], data[start : start + n - 1 + length]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
 
+    return rows.mapInArrow(run, COPY)
 
-def _each(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers repeated by their counts, and the place of each repetition."""
-    row = np.repeat(np.arange(len(counts)), counts)
-    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
 
+def _sorted(group: np.ndarray, parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A suffix array: the order of parts within their groups, and what each has in common with the one before it (less than 0 across groups)."""
+    table = np.zeros((len(parts), width + 4), np.uint8)
+    table[:, :4] = group.astype(">u4")[:, None].view(np.uint8)
+    table[:, 4:] = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in parts), np.uint8).reshape(-1, width)
+    order = np.argsort(table.view(f"S{width + 4}").ravel(), kind="stable")
+    differ = table[order[1:]] != table[order[:-1]]
+    return order, np.where(differ.any(1), differ.argmax(1), width + 4) - 4
 
-def _reach(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest distance of the trigger from the start of a context's strings."""
-    far = batch.column("trigger").to_numpy().astype(np.int64)
-    return far - batch.column("n").to_numpy() + 1, far
 
+def combined(group: np.ndarray, place: np.ndarray, data: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each context (row) and distance from the trigger (column): whether its string has an equal one in its group, and whether it is the first of its kind.
 
-def _block_keys(copies: DataFrame, length: int) -> DataFrame:
-    """context, what (2 * block, plus 1 for a cover), key: hashes of cover and core of each block of strings.
-
-    A cover is all that the context's strings of the block cover; a core is what all strings of the
-    block have in common, whichever of them a context has.
+    Distances at which a context has no string are False in both. Contexts of a group have one trigger.
     """
+    n, far = place >> 8 & 255, place & 255
+    near, most = far - n + 1, length - gram + 1
+    right, right_common = _sorted(group, [d[f:] for d, f in zip(data, far.tolist(), strict=True)], length)
+    left, left_common = _sorted(group, [d[:f][::-1] for d, f in zip(data, far.tolist(), strict=True)], most)
+    again, first = (np.zeros((len(data), most), bool) for _ in range(2))
+    rank = np.zeros((2, len(data)), np.int64)
+    for d in range(most):
+        # Neighbours that share the bytes of such a string on a side have one rank there.
+        rank[0][right[1:]] = np.cumsum(right_common < length - d)
+        rank[1][left[1:]] = np.cumsum(left_common < d)
+        has = np.flatnonzero((near <= d) & (d <= far))
+        _, at, kind, count = np.unique(rank[0][has] * len(data) + rank[1][has], return_index=True, return_inverse=True, return_counts=True)
+        again[has, d] = count[kind] > 1
+        first[has[at], d] = True
+    return again, first
+
+
+def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last column of each run of True."""
+    edge = np.diff(np.pad(marks, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, start = np.nonzero(edge == 1)
+    return row, start, np.nonzero(edge == -1)[1] - 1
+
+
+FOUND = "key long, mark long, a long, b long, digest binary, once boolean"
+
+
+def _compared(copies: DataFrame, rows: int, length: int, gram: int) -> DataFrame:
+    """Spans (a, b) of the texts of contexts that occur once. copies: COPY with parts, the number of parts of their trigger.
+
+    Of triggers in several parts also a digest of each string, once for each part: with a place if it
+    is of a context that occurs once and stands once in its part.
+    """
+    part = F.pmod(F.xxhash64("context"), F.col("parts"))
+    sorted_ = copies.withColumn("part", part).repartition("gram", "part").sortWithinPartitions("gram", "part")
+
+    def made(held: list[tuple]) -> pa.RecordBatch:
+        key, mark, gram_, _, once, place, data, parts, part_ = zip(*held, strict=True)
+        group = np.cumsum([0, *(a != b for a, b in zip(zip(gram_[1:], part_[1:], strict=True), zip(gram_, part_, strict=False), strict=False))])
+        place, once, several = np.array(place, np.int64), np.array(once, bool), np.array(parts) > 1
+        again, first = combined(group, place, list(data), length, gram)
+        row, near, far = _runs(again & once[:, None])
+        start, trigger = place >> 16, place & 255
+        out = [([key[r] for r in row.tolist()], [mark[r] for r in row.tolist()], start[row] + trigger[row] - far, start[row] + trigger[row] - near + length, [None] * len(row), [True] * len(row))]
+        row, d = np.nonzero(first & several[:, None])
+        if len(row):
+            at = trigger[row] - d
+            digest = [hashlib.blake2b(data[r][x : x + length], digest_size=16).digest() for r, x in zip(row.tolist(), at.tolist(), strict=True)]
+            alone = once[row] & ~again[row, d]
+            out.append(([key[r] for r in row.tolist()], [mark[r] for r in row.tolist()], start[row] + at, start[row] + at + length, digest, alone.tolist()))
+        columns = [[x for o in out for x in o[k]] for k in range(6)]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in FOUND.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near, far = _reach(batch)
-            row, k = _each(far // BLOCK - near // BLOCK + 1)
-            k += near[row] // BLOCK
-            a, b = np.maximum(near[row], k * BLOCK), np.minimum(far[row], k * BLOCK + BLOCK - 1)
-            cover = _hashed(batch, row, far[row] - b, far[row] - a + length, 1, b * 4096 + b - a)
-            core = _hashed(batch, row, far[row] - k * BLOCK, far[row] - k * BLOCK - BLOCK + 1 + length, 2, k)
-            context = batch.column("context").to_numpy()[row]
-            yield pa.RecordBatch.from_pydict({"context": pa.array(np.r_[context, context]), "what": pa.array(np.r_[2 * k + 1, 2 * k].astype(np.int32)), "key": pa.array(np.r_[cover, core])})
-
-    return copies.select("context", "n", "trigger", "bytes").mapInArrow(run, "context long, what int, key long")
-
-
-def _string_keys(copies: DataFrame, length: int) -> DataFrame:
-    """context, distance, key of each single string of the blocks whose bits are set in asked."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near, far = _reach(batch)
-            row, d = _each(far - near + 1)
-            d += near[row]
-            wanted = (batch.column("asked").to_numpy()[row] >> (d // BLOCK)) & 1 == 1
-            row, d = row[wanted], d[wanted]
-            key = _hashed(batch, row, far[row] - d, far[row] - d + length, 3, d)
-            yield pa.RecordBatch.from_pydict({"context": pa.array(batch.column("context").to_numpy()[row]), "distance": pa.array(d.astype(np.int32)), "key": pa.array(key)})
-
-    return copies.select("context", "n", "trigger", "bytes", "asked").mapInArrow(run, "context long, distance int, key long")
-
+        held: list[tuple] = []
+        for batch in (part for whole in batches for part in slices(whole)):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if len(held) >= BATCH and (row[2], row[8]) != (held[-1][2], held[-1][8]):
+                    yield made(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield made(held)
 
-def _open_ranges(copies: DataFrame, length: int) -> DataFrame:
-    """context, first, last: distances of the repeated strings of contexts that occur once.
-
-    Keys are made twice, to be counted and to be joined, as that costs less than to keep them.
-    """
-    facts = copies.select("context", "gram", "once")
-    again = _block_keys(copies, length).groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    met = _block_keys(copies, length).join(again, "key").groupBy("context", F.shiftright("what", 1).alias("block")).agg(F.max(F.col("what") % 2 == 1).alias("all"), F.max(F.col("what") % 2 == 0).alias("some"))
-    state = cut(met.join(facts, "context"))
-    whole = state.where("once AND all").select("context", (F.col("block") * BLOCK).alias("first"), (F.col("block") * BLOCK + BLOCK - 1).alias("last"))
-    unclear = state.where("once AND some AND NOT all").select("gram", "block").distinct()
-    asked = state.where("some").join(unclear, ["gram", "block"]).groupBy("context").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("block"))).alias("asked"))
-    chosen = kept(copies.join(asked, "context"))
-    twice = _string_keys(chosen, length).groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    single = _string_keys(chosen.where("once"), length).join(twice, "key").select("context", F.col("distance").alias("first"), F.col("distance").alias("last"))
-    return whole.unionByName(single)
+    return sorted_.mapInArrow(run, FOUND)
 
 
 def repeated_spans(rows: DataFrame, length: int = 200, gram: int = GRAM, say=None) -> DataFrame:
     """key, mark, spans: for each text with repeated strings the maximal byte ranges (a, b) they cover, in order.
 
     rows: key, mark, text; a text is told by key and mark together. All is counted on rows as given.
+    Null keys are keys of their own; no rows give none.
     """
     if not 0 < length - gram < 255:
         raise ValueError("length must be above gram by 1 to 254")
-    say = say or (lambda *_: None)
-    # Cut off from its sums, so that both sides of the join are dealt for it and a frequent gram can be split.
-    grams = cut(parsed(rows, length, gram).groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram"))
-    shared = kept(parsed(rows, length, gram).join(grams, "gram"))
-    # A context's hash covers its gram, so it tells the context alone.
-    once = cut(shared.groupBy("gram", "context").agg(F.count("*").alias("k")).where("k = 1").select("gram", "context"))
-    count = once.count()
-    small = (lambda df: F.broadcast(df)) if count <= NUMBERS else (lambda df: df)
-    lone_rows = shared.join(small(once.select("context")), "context")
-    others = shared.join(small(once.select("context")), "context", "left_anti")
-    beside = others.join(small(once.select("gram").distinct()), "gram").groupBy("context").agg(F.min_by(F.struct("key", "mark", "place", "gram"), F.struct("key", "mark", "place")).alias("at")).select("context", "at.*")
-    compared = lone_rows.withColumn("once", F.lit(True)).unionByName(beside.withColumn("once", F.lit(False)))
-    asked = cut(compared.groupBy("key", "mark").agg(F.collect_list(F.struct("place", "context", "gram", "once")).alias("wanted")))
-    total = asked.agg(F.sum(F.size("wanted"))).first()[0] or 0
-    say("shared", shared.count(), "once", count, "compared", total)
-    copies = kept(_copies(_with(rows, asked, total, "inner"), length))
-    ranges = _open_ranges(copies, length)
-    start, n, trigger = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255), F.col("place").bitwiseAND(255)
-    settled = others.select("key", "mark", F.struct(start.alias("a"), (start + n - 1 + length).alias("b")).alias("s"))
-    near = trigger - n + 1
-    first, last = F.greatest(F.col("first"), near), F.least(F.col("last"), trigger)
-    open_ = lone_rows.join(ranges, "context").select("key", "mark", F.struct((start + trigger - last).alias("a"), (start + trigger - first + length).alias("b")).alias("s"))
+    t = Tables(rows.sparkSession)
+    # Written apart from its sums, so that both sides of the join are dealt for it and a frequent gram can be split.
+    twice = t.keep("grams", grams(rows, length, gram).groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram"))
+    shared = t.keep("shared", parsed(rows, length, gram).join(twice, "gram"))
+    context = ["context", "check"]
+    lone = t.keep("once", shared.groupBy(*context).agg(F.count("*").alias("k"), F.first("gram").alias("gram")).where("k = 1").drop("k"))
+    count = lone.count()
+    marked = attach(shared, lone.select(*context, F.lit(True).alias("once")), context, count, "left", most=BROADCAST_NUMBERS)
+    told = t.keep("told", marked.withColumn("once", F.coalesce("once", F.lit(False))))
+    t.drop("shared", "grams")
+    own = t.keep("own", lone.select("gram").distinct())
+    own_count = own.count()
+    beside = attach(told.where("NOT once"), own, ["gram"], own_count, most=BROADCAST_NUMBERS).dropDuplicates(context)
+    columns = ("key", "mark", "gram", "context", "once", "place")
+    compared = t.keep("compared", told.where("once").select(*columns).unionByName(beside.select(*columns)))
+    total = compared.count()
+    if say:
+        say("once", count, "compared", total)
+    asked = compared.groupBy("key", "mark").agg(F.collect_list(F.struct("place", "context", "gram", "once")).alias("wanted"))
+    parts = t.keep("parts", compared.groupBy("gram").agg(F.ceil(F.count("*") / CHUNK).alias("parts")).where("parts > 1"))
+    several = parts.count()
+    copies = _copies(_with(rows, asked, total, "inner"), length)
+    sized = attach(copies, parts, ["gram"], several, "left", most=BROADCAST_NUMBERS).select("key", "mark", "gram", "context", "once", "place", "bytes", F.coalesce("parts", F.lit(1)).alias("parts"))
+    found = t.keep("found", _compared(sized, total, length, gram))
+    open_ = found.where("digest IS NULL").select("key", "mark", F.struct("a", "b").alias("s"))
+    if several:
+        again = found.where("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("k")).where("k > 1").select("digest")
+        open_ = open_.unionByName(found.where("once").join(again, "digest").select("key", "mark", F.struct("a", "b").alias("s")))
+    start, n = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255)
+    settled = told.where("NOT once").select("key", "mark", F.struct(start.alias("a"), (start + n - 1 + length).alias("b")).alias("s"))
     every = settled.unionByName(open_).groupBy("key", "mark").agg(F.collect_list("s").alias("spans"))
-    return every.mapInArrow(_merged_rows, "key long, mark int, spans array<struct<a:long,b:long>>")
+    spans = t.keep("spans", every.mapInArrow(_merged_rows, "key long, mark long, spans array<struct<a:long,b:long>>"))
+    t.drop(*(name for name in list(t.paths) if name != "spans"))
+    return spans
 
 
 def _merged_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         runs_ = [[{"a": a, "b": b} for a, b in merged([(x["a"], x["b"]) for x in s])] for s in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs_, kind)], ["key", "mark", "spans"])
 
@@ -261,18 +303,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     treated whole.
     """
     docs = docs.drop("n_bytes", "removed", "kept")
-    mark = F.hash(F.coalesce(F.col(text), F.lit("")))
+    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(F.col(key).cast("long").alias("key"), mark.alias("mark"), F.col(text).alias("text"))
-    spans = cut(repeated_spans(rows, length, gram, say))
+    spans = repeated_spans(rows, length, gram, say)
     total = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
     wide = docs.withColumns({"key_": F.col(key).cast("long"), "mark_": mark})
     side = spans.select(F.col("key").alias("k_"), F.col("mark").alias("m_"), "spans")
-    side = F.broadcast(side) if total <= 4 * RANGES else side
+    side = F.broadcast(side) if total <= RANGES else side
     joined = wide.join(side, F.col("key_").eqNullSafe(F.col("k_")) & F.col("mark_").eqNullSafe(F.col("m_")), "left").drop("key_", "mark_", "k_", "m_")
     names, at = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sizes, gone, left = [], [], []
             for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 data = (t or "").encode("utf-8", "replace")

@@ -12,6 +12,10 @@ _tables = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 BYTES = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) ^ (np.arange(1, 257, dtype=np.uint64) << np.uint64(17))
 
 
+#: The same for a second, independent hash.
+OTHER_BYTES = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (np.arange(1, 257, dtype=np.uint64) << np.uint64(29))
+
+
 def powers(n: int, which: str) -> np.ndarray:
     """The first n powers of the base ("up") or of its inverse ("down")."""
     table = _tables[which]
@@ -22,10 +26,10 @@ def powers(n: int, which: str) -> np.ndarray:
     return table[:n]
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
+def prefix(data: np.ndarray, table: np.ndarray = BYTES) -> np.ndarray:
     """Prefix sums of a uint8 array; one longer than data."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTES[data] * powers(len(data), "up"), out=out[1:])
+    np.cumsum(table[data] * powers(len(data), "up"), out=out[1:])
     return out
 
 

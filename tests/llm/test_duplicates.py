@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import minhash_dedup, parse_dedup
@@ -81,7 +82,10 @@ def test_components(spark):
     assert all(got.get(i, i) == find(i) for i in list(root))
 
 
-def test_repeats_by_brute_force(spark):
+@pytest.mark.parametrize("chunk", [4096, 3])
+def test_repeats_by_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(parse_dedup, "CHUNK", chunk)  # 3: most triggers have their contexts in several parts
+    monkeypatch.setattr(parse_dedup, "BATCH", 7)
     draw = random.Random(4)
     part = lambda n: "".join(draw.choice("abcde é ") for _ in range(n))
     shared = [part(draw.randint(150, 700)) for _ in range(8)]
