@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions.dates import find_dates
-from docloom.functions.text import is_heading, pattern
+from docloom.functions.text import is_heading, pattern, squeeze
 from docloom.operators.rules import FAMILIES, Rule
-from docloom.plans.registry import FIELDS, PARTY_CUES
+from docloom.plans.registry import FIELDS, PARTY_CUES, PARTY_HEADINGS
 
 
 def dates(paragraphs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -30,7 +30,8 @@ def timeline(paragraphs: DataFrame, hits: DataFrame, key: str = "doc_id") -> Dat
 def parties(paragraphs: DataFrame, key: str = "doc_id", most: int = 4, cues: Sequence[tuple[int, str]] = PARTY_CUES) -> DataFrame:
     """key, paragraph_index, weight, matched: paragraphs that name a party, the strongest cues first."""
     text, before = F.col("text"), F.lag("text").over(W.partitionBy(key).orderBy("paragraph_index"))
-    led = F.coalesce(before.rlike(r"(?i)^(?:between|and|by\s+and\s+between|among|parties)\s*:?\z") & is_heading(before), F.lit(False))
+    title = F.rtrim(F.lower(F.regexp_replace(squeeze(before), ":$", "")))
+    led = F.coalesce(title.isin(*PARTY_HEADINGS) & is_heading(before), F.lit(False))
     weigh = F.greatest(*(F.when(text.rlike(pattern(p)), F.lit(n)) for n, p in cues), F.when(F.col("led"), F.lit(2)), F.lit(0))
     strongest = [F.when(text.rlike(pattern(p)) & (F.col("weight") == n), F.regexp_extract(text, pattern(p), 0)) for n, p in cues]
     opening = F.array_join(F.slice(F.split(text, r"\s+"), 1, 8), " ")

@@ -28,8 +28,8 @@ class Rule:
     any: Sequence[str]
     all: Sequence[str] = ()
     none: Sequence[str] = ()
-    #: One letter for each of STAGES: P primary, S secondary, - background.
-    ranks: str = "---"
+    #: One of RELEVANCES for each of STAGES.
+    ranks: Sequence[str] = ("background",) * len(STAGES)
     types: Sequence[str] = ()
     prompt: str = "Read {clause}."
     category: str = ""
@@ -45,7 +45,7 @@ class Rule:
         return self.id.split(".", 1)[0]
 
     def relevance(self, stage: str | None) -> str | None:
-        return None if stage is None else {"P": "primary", "S": "secondary"}.get(self.ranks[STAGES.index(stage)], "background")
+        return None if stage is None else self.ranks[STAGES.index(stage)]
 
 
 def check(rules: Iterable[Rule]) -> None:

@@ -1,49 +1,112 @@
-"""The rules of the document review, and the cues over typed text. Patterns are our own wording."""
+"""The rules of the document review, and the cues over typed text.
+
+Ids, families and relevances are fixed; patterns are made from plain lists of words.
+"""
 
 from __future__ import annotations
 
+from docloom.operators.compare import MONTHS, NUMBERS
 from docloom.operators.rules import Rule
 
-AMOUNT = r"(?:INR|Rs\.?|₹|Rupees)\s*[\d,]+(?:\.\d+)?(?:/-)?"
-COUNT = r"(?:\d+|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|fifteen|eighteen|twenty|thirty|forty|sixty|ninety)"
-PERIOD = rf"{COUNT}\s*(?:\(\s*\w+\s*\)\s*)?(?:hour|day|week|month|year)s?"
+
+def words(*phrases: str) -> str:
+    """A pattern of whole words: one of the phrases."""
+    return rf"\b(?:{'|'.join(p.replace(' ', chr(92) + 's+') for p in phrases)})\b"
+
+
+def begins(*beginnings: str) -> str:
+    """A pattern of words that begin so."""
+    return rf"\b(?:{'|'.join(p.replace(' ', chr(92) + 's+') for p in beginnings)})"
+
+
+def near(first: str, second: str, most: int = 60) -> str:
+    """A pattern of one thing and another within so many characters behind it."""
+    return f"{first}.{{0,{most}}}?{second}"
+
+
+SUM = r"(?:rs[.]?|inr|rupees|₹)\s*\d(?:[\d,]*\d)?(?:[.]\d+)?(?:\s*/-)?"
+_NUMBER = "|".join(sorted(NUMBERS, key=lambda w: (-len(w), w)))
+SPAN = rf"(?:\d+|(?:{_NUMBER}))(?:\s*[(]\s*\w+\s*[)])?\s*(?:hour|day|week|month|year)s?"
 OFFER, RENTAL = ("offer_letter",), ("rental",)
 
+#: How relevant each rule is before signing, when a problem has started, and when versions are compared.
+RELEVANCE = {
+    "money.payment-terms": ("primary", "secondary", "primary"),
+    "money.deposit": ("primary", "primary", "secondary"),
+    "money.late-fees": ("primary", "primary", "secondary"),
+    "money.bond-repayment": ("primary", "primary", "secondary"),
+    "money.discretionary": ("primary", "secondary", "secondary"),
+    "money.who-pays": ("secondary", "secondary", "secondary"),
+    "time.term": ("primary", "secondary", "primary"),
+    "time.deadline": ("secondary", "primary", "secondary"),
+    "time.renewal": ("primary", "secondary", "primary"),
+    "time.probation": ("primary", "secondary", "background"),
+    "time.survival": ("primary", "secondary", "secondary"),
+    "time.dated": ("background", "primary", "background"),
+    "duty.non-compete": ("primary", "secondary", "secondary"),
+    "duty.non-solicit": ("primary", "secondary", "secondary"),
+    "duty.restrictions": ("secondary", "secondary", "secondary"),
+    "duty.one-sided": ("primary", "secondary", "primary"),
+    "duty.upkeep": ("secondary", "primary", "background"),
+    "duty.hours": ("primary", "secondary", "secondary"),
+    "duty.one-way": ("primary", "secondary", "secondary"),
+    "duty.conditions": ("primary", "secondary", "background"),
+    "exit.notice": ("primary", "primary", "primary"),
+    "exit.notice-service": ("secondary", "primary", "background"),
+    "exit.termination": ("primary", "primary", "primary"),
+    "exit.lock-in": ("primary", "primary", "secondary"),
+    "exit.handover": ("secondary", "primary", "background"),
+    "exit.remedies": ("primary", "primary", "primary"),
+    "exit.liability": ("primary", "primary", "primary"),
+    "exit.disputes": ("secondary", "primary", "secondary"),
+    "data-ip.confidentiality": ("primary", "secondary", "secondary"),
+    "data-ip.ip": ("primary", "secondary", "secondary"),
+    "data-ip.personal-data": ("primary", "secondary", "primary"),
+    "data-ip.monitoring": ("primary", "secondary", "secondary"),
+    "data-ip.incident": ("secondary", "primary", "background"),
+    "data-ip.handling": ("primary", "secondary", "background"),
+}
+
+
+def _rule(id: str, title: str, any: list[str], **more) -> Rule:
+    return Rule(id, title, any, ranks=RELEVANCE[id], **more)
+
+
 RULES = (
-    Rule("money.payment-terms", "Amounts payable", [rf"(?<amount>{AMOUNT})"], [r"\b(?:fees?|rent|salary|charges?|pay|payable|payment|monthly|per month)\b"], [r"\bdeposit\b", r"liquidated damages", r"\brepay\b", r"late[- ]payment"], "PSP", prompt="Check {clause}: is {amount|the amount} the sum you expect, and when is it due?", category="payment"),
-    Rule("money.deposit", "Deposit and refund", [r"security deposit", r"\bdeposit\b.{0,60}\b(?:refund|deduct|return)", r"\brefundable\b"], ranks="PPS", prompt="Read {clause} for the deposit: when does it come back, less what?"),
-    Rule("money.late-fees", "Charges for late payment", [r"late[- ]payment", r"late (?:fee|charge)", r"per day of delay", r"penal interest", r"interest on (?:delayed|overdue)"], none=[r"\bdeduct"], ranks="PPS", category="penalty"),
-    Rule("money.bond-repayment", "Bonds and repayment", [r"training (?:bond|costs?)", r"service bond", r"\brepay\b", r"\breimburse the (?:company|employer)\b", r"recover(?:ed)? from .{0,40}(?:salary|final pay|dues)"], ranks="PPS", category="bond"),
-    Rule("money.discretionary", "Pay at discretion", [r"\bdiscretion", r"not guaranteed", r"no guarantee", r"\bat any time\b"], [r"\b(?:bonus|incentive|variable|commission|allowance|pay)\b"], ranks="PSS"),
-    Rule("money.who-pays", "Who bears which cost", [r"maintenance charges", r"\bborne by\b", r"stamp duty", r"\b(?:electricity|water|utility) (?:charges|bills)\b", r"at (?:his|her|its|their) own cost"], ranks="SSS", category="charges"),
-    Rule("time.term", "How long it lasts", [rf"\b(?:for|of) a (?:period|term) of (?<period>{PERIOD})", r"\bcommenc(?:es?|ing) (?:on|from)\b"], ranks="PSP"),
-    Rule("time.deadline", "Deadlines", [rf"\bwithin (?<window>{PERIOD})", rf"\bnot later than (?<window>{PERIOD})", r"\bon or before\b", r"\bvalid (?:until|till)\b"], ranks="SPS"),
-    Rule("time.renewal", "Renewal", [r"\brenew", r"\bextend", r"\bautomatically\b"], [r"\b(?:agreement|term|contract|licen[cs]e|lease)\b"], [r"\bprobation"], "PSP"),
-    Rule("time.probation", "Probation", [r"\bprobation", r"\bconfirmation\b(?! of receipt)"], ranks="PS-", types=OFFER),
-    Rule("time.survival", "What outlives the end", [r"\bsurviv", r"\bindefinitely\b", r"\bin perpetuity\b", r"\bafter (?:the )?(?:termination|expiry|end)\b"], ranks="PSS"),
-    Rule("time.dated", "Dates named", [r"\b\d{1,2}(?:st|nd|rd|th)?\s+(?:day of\s+)?(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?,?\s+\d{4}\b"], ranks="-P-", category="date"),
-    Rule("duty.non-compete", "Competing work", [r"non-?\s?compet", r"\bcompeting (?:business|work)\b", r"\bshall not\b.{0,60}\bemployed by\b"], ranks="PSS"),
-    Rule("duty.non-solicit", "Soliciting", [r"non-?\s?solicit", r"\bsolicit"], ranks="PSS"),
-    Rule("duty.restrictions", "What may not be done", [r"\b(?:employee|tenant|licensee|recipient|customer|party|parties) (?:shall|may|must) not\b", r"prior written (?:consent|approval)", r"\bsolely for\b"], ranks="SSS", category="restriction"),
-    Rule("duty.one-sided", "One side decides", [r"\bsole discretion\b", r"\bfrom time to time\b", r"\bmay (?:assign|amend|vary|revise)\b"], ranks="PSP"),
-    Rule("duty.upkeep", "Repairs and upkeep", [r"\brepairs?\b", r"\bmaintenance\b(?! charges)", r"wear and tear"], [r"\b(?:shall|must|will|responsible)\b"], ranks="SP-", types=RENTAL),
-    Rule("duty.hours", "Hours and leave", [r"working hours", r"\bovertime\b", r"\b(?:casual|sick|earned|annual) leave\b", r"hours (?:per|a) (?:day|week)"], ranks="PSS", types=OFFER),
-    Rule("duty.one-way", "Duties of one side only", [r"\bone-way\b", r"\bunilateral", r"no (?:reciprocal|corresponding) obligation"], ranks="PSS"),
-    Rule("duty.conditions", "Conditions", [r"\b(?:conditional (?:up)?on|subject to)\b.{0,60}\b(?:verification|check|documents?)\b", r"background (?:verification|check)", r"\bsubmit\b.{0,40}\bdocuments\b"], ranks="PS-", category="condition"),
-    Rule("exit.notice", "Notice to end it", [rf"(?<period>{PERIOD})(?:['’]s?)?\s*(?:prior |advance )?(?:written )?notice\b", rf"\bnotice (?:period )?of (?<period>{PERIOD})", r"\bin lieu of notice\b", r"\bnotice period\b"], [r"\b(?:terminat\w*|resign\w*|end|ending|leave|vacat\w*|expir\w*|in lieu)\b"], ranks="PPP", prompt="Check {clause}: is {period|the notice} the same for both sides?"),
-    Rule("exit.notice-service", "How notice is given", [r"\bnotices? (?:shall|must) be (?:given )?in writing\b", r"deemed (?:served|received|delivered)", r"registered post"], ranks="SP-"),
-    Rule("exit.termination", "Ending at once", [r"\bimmediate(?:ly)?\b", r"material breach", r"\bmisconduct\b", r"\bwithout cause\b", r"\binsolven"], [r"\bterminat"], ranks="PPP"),
-    Rule("exit.lock-in", "Minimum period", [rf"\block-?\s?in\b(?:.{{0,40}}(?<period>{PERIOD}))?", r"minimum period", r"unexpired (?:portion|period)"], ranks="PPS"),
-    Rule("exit.handover", "Handing over", [r"\bhand(?:ing)? over\b", r"\bvacate\b", r"return (?:of )?(?:all )?(?:property|assets|documents|keys)"], ranks="SP-"),
-    Rule("exit.remedies", "Remedies", [r"liquidated damages", r"\bindemnif", r"\bforfeit", r"injunctive relief", r"\bpenalty of\b"], ranks="PPP", category="remedy"),
-    Rule("exit.liability", "Limits of liability", [r"\b(?:not|no) (?:be )?liab", r"liability .{0,30}limited to", r"\b(?:indirect|consequential) (?:loss|damages?)"], ranks="PPP"),
-    Rule("exit.disputes", "Disputes", [r"\barbitrat", r"\bjurisdiction\b", r"\bcourts? (?:at|of|in)\b", r"governing law", r"\bmediation\b"], ranks="SPS", category="dispute"),
-    Rule("data-ip.confidentiality", "Confidentiality", [r"\bconfidential", r"trade secrets?", r"non-disclosure"], none=[r"^whereas\b"], ranks="PSS"),
-    Rule("data-ip.ip", "Ownership of work", [r"intellectual property", r"work product", r"\bcopyright", r"\bpatent", r"\bmoral rights\b"], ranks="PSS"),
-    Rule("data-ip.personal-data", "Personal data", [r"personal (?:data|information)", r"\bprivacy\b", r"\bbiometric"], ranks="PSP"),
-    Rule("data-ip.monitoring", "Monitoring", [r"\bmonitor", r"\bsurveillance\b", r"\benter and inspect\b", r"\bcctv\b"], ranks="PSS"),
-    Rule("data-ip.incident", "Incidents", [r"data breach", r"\b(?:loss|theft|incident|unauthori[sz]ed (?:access|disclosure))\b"], [r"\b(?:notif\w*|report\w*|inform\w*)\b"], ranks="SP-"),
-    Rule("data-ip.handling", "Handling of data", [r"\bencrypt", r"\bcloud\b", r"\bAI tools?\b", r"\bcopies\b"], ranks="PS-"),
+    _rule("money.payment-terms", "Amounts payable", [rf"(?<amount>{SUM})"], all=[begins("pay", "rent", "fee", "charge", "salar", "month", "per month")], none=[words("deposit", "damages", "repay"), begins("late pa", "late-pa")], prompt="Check {clause}: is {amount|the amount} the sum you expect, and when is it due?", category="payment"),
+    _rule("money.deposit", "Deposit and refund", [words("security deposit", "refundable"), near(words("deposit"), begins("refund", "return", "deduct"))], prompt="When is the deposit of {clause} due back, and what may be kept of it?"),
+    _rule("money.late-fees", "Charges for late payment", [begins("late fee", "late charge", "late payment", "late-payment", "penal interest"), words("per day of delay"), near(words("interest"), begins("delay", "overdue"), 12)], none=[begins("deduct")], category="penalty"),
+    _rule("money.bond-repayment", "Bonds and repayment", [words("training bond", "training cost", "training costs", "service bond", "repay"), near(begins("reimburs"), words("company", "employer"), 12), near(begins("recover"), words("salary", "final pay", "dues"))], category="bond"),
+    _rule("money.discretionary", "Pay at discretion", [begins("discretion"), words("not guaranteed", "no guarantee", "at any time")], all=[words("pay", "bonus", "commission", "incentive", "allowance", "variable")]),
+    _rule("money.who-pays", "Who bears which cost", [words("borne by", "stamp duty", "maintenance charges", "own cost", "own expense"), near(words("water", "electricity", "utility", "gas"), begins("bill", "charge"), 4)], category="charges"),
+    _rule("time.term", "How long it lasts", [rf"\ba\s+(?:term|period)\s+of\s+(?<period>{SPAN})", words("commencing on", "commencing from", "commences on", "commences from")]),
+    _rule("time.deadline", "Deadlines", [rf"\b(?:within|(?:no|not) later than)\s+(?<window>{SPAN})", words("on or before", "valid till", "valid until")]),
+    _rule("time.renewal", "Renewal", [begins("renew", "extend", "extension"), words("automatically")], all=[words("term", "lease", "licence", "license", "contract", "agreement")], none=[begins("probation")]),
+    _rule("time.probation", "Probation", [begins("probation"), words("confirmation of employment", "confirmation in service")], types=OFFER),
+    _rule("time.survival", "What outlives the end", [begins("surviv"), words("indefinitely", "in perpetuity"), near(words("after"), begins("terminat", "expir", "end of"), 5)]),
+    _rule("time.dated", "Dates named", [rf"\b\d{{1,2}}(?:st|nd|rd|th)?(?:\s+day)?(?:\s+of)?\s+(?:{'|'.join(MONTHS)})\p{{L}}*[.]?,?\s+\d{{4}}\b"], category="date"),
+    _rule("duty.non-compete", "Competing work", [begins("non-compet", "non compet", "noncompet", "competing business", "competing work"), near(words("shall not"), words("employed by", "work for a competitor"))]),
+    _rule("duty.non-solicit", "Soliciting", [begins("solicit", "non-solicit", "nonsolicit")]),
+    _rule("duty.restrictions", "What may not be done", [near(words("tenant", "licensee", "employee", "recipient", "customer", "party", "parties"), words("shall not", "must not", "may not"), 2), words("prior written consent", "prior written approval", "solely for")], category="restriction"),
+    _rule("duty.one-sided", "One side decides", [words("sole discretion", "from time to time", "may revise", "may vary", "may amend", "may assign")]),
+    _rule("duty.upkeep", "Repairs and upkeep", [words("repair", "repairs", "wear and tear", "upkeep"), rf"{words('maintenance')}(?!\s+charges)"], all=[words("responsible", "shall", "must", "will")], types=RENTAL),
+    _rule("duty.hours", "Hours and leave", [words("overtime", "working hours", "sick leave", "annual leave", "casual leave", "earned leave"), near(words("hours"), words("per day", "a day", "per week", "a week"), 2)], types=OFFER),
+    _rule("duty.one-way", "Duties of one side only", [begins("unilateral"), words("one-way"), near(words("no"), words("reciprocal obligation", "corresponding obligation"), 2)]),
+    _rule("duty.conditions", "Conditions", [near(words("subject to", "conditional on", "conditional upon"), begins("verif", "check", "document")), words("background check", "background verification"), near(begins("submit"), words("documents"), 40)], category="condition"),
+    _rule("exit.notice", "Notice to end it", [rf"(?<period>{SPAN})(?:['’]s?)?\s+(?:(?:prior|advance|written)\s+)*notice\b", rf"\bnotice(?:\s+period)?\s+of\s+(?<period>{SPAN})", words("notice period", "in lieu of notice")], all=[begins("terminat", "resign", "expir", "vacat", "leav", "end", "in lieu")], prompt="Check {clause}: is {period|the notice} the same for both sides?"),
+    _rule("exit.notice-service", "How notice is given", [near(begins("notice"), words("in writing"), 20), words("deemed served", "deemed received", "deemed delivered", "registered post")]),
+    _rule("exit.termination", "Ending at once", [begins("immediate", "insolven", "misconduct"), words("material breach", "without cause")], all=[begins("terminat")]),
+    _rule("exit.lock-in", "Minimum period", [rf"\block(?:-|\s)?in\b(?:.{{0,40}}?(?<period>{SPAN}))?", words("minimum period", "unexpired period", "unexpired portion")]),
+    _rule("exit.handover", "Handing over", [begins("hand over", "handing over"), words("vacate"), near(begins("return"), words("keys", "assets", "documents", "property"), 12)]),
+    _rule("exit.remedies", "Remedies", [begins("indemnif", "forfeit"), words("liquidated damages", "injunctive relief", "penalty of")], category="remedy"),
+    _rule("exit.liability", "Limits of liability", [near(words("no", "not"), begins("liab"), 5), near(words("liability"), words("limited to"), 30), near(words("indirect", "consequential"), begins("loss", "damage"), 3)]),
+    _rule("exit.disputes", "Disputes", [begins("arbitrat", "mediat"), words("jurisdiction", "governing law"), near(begins("court"), words("at", "in", "of"), 2)], category="dispute"),
+    _rule("data-ip.confidentiality", "Confidentiality", [begins("confidential", "trade secret", "non-disclosure")], none=[r"^whereas\b"]),
+    _rule("data-ip.ip", "Ownership of work", [begins("intellectual propert", "copyright", "patent"), words("work product", "moral rights")]),
+    _rule("data-ip.personal-data", "Personal data", [words("personal data", "personal information", "privacy"), begins("biometric")]),
+    _rule("data-ip.monitoring", "Monitoring", [begins("monitor"), words("surveillance", "cctv", "enter and inspect")]),
+    _rule("data-ip.incident", "Incidents", [words("data breach", "incident", "theft", "loss"), near(begins("unauthoris", "unauthoriz"), begins("access", "disclos"), 3)], all=[begins("notif", "report", "inform")]),
+    _rule("data-ip.handling", "Handling of data", [begins("encrypt"), words("cloud", "copies", "ai tool", "ai tools")]),
 )
 
 #: Cues over what a reader types, most specific first: name, patterns, guidance.
@@ -66,15 +129,18 @@ LANGUAGE = {
     "alarm": [r"\b(?:dangerous|outrageous|predatory|scam)\b"],
     "reassurance": [r"\b(?:perfectly safe|nothing to worry|completely fair)\b"],
 }
+_SIDES = ("one", "other", "first", "second", "third")
 #: Party cues with their weights; the first of equal weights counts.
 PARTY_CUES = (
-    (3, r"\bhereinafter\s+(?:called|referred\s+to\s+as)\b"),
-    (3, r"\bof\s+the\s+(?:one|other|first|second|third)\s+part\b"),
-    (3, r"\(\s*(?:the\s+)?[\"“”](?:the\s+)?\w+(?: \w+)?[\"“”]\s*\)"),
-    (2, r"\b(?:made|entered\s+into|executed)\b.{0,60}\bbetween\b"),
-    (1, r"^(?:Mr|Ms|Mrs|Dr|Shri|Smt|M/s)\.?\s+\p{L}[^.!?]{2,160}\z"),
-    (1, r"^I,\s+[^,]{2,60},\s+(?:have\s+read|accept|agree|confirm)\b"),
+    (3, words("hereinafter called", "hereinafter referred to as")),
+    (3, words(*(f"of the {side} part" for side in _SIDES))),
+    (3, r"[(]\s*(?:the\s+)?[\"“”][^\"“”()]{1,40}[\"“”]\s*[)]"),
+    (2, near(words("made", "executed", "entered into"), words("between"))),
+    (1, r"^(?:" + "|".join(("mr", "ms", "mrs", "miss", "dr", "shri", "smt", "kumari", "m/s", "messrs")) + r")[.]?\s+\p{L}[^.!?]{2,160}\z"),
+    (1, r"^I,\s[^,]{2,60},\s+(?:" + "|".join(("accept", "agree", "confirm", "have read".replace(" ", r"\s+"))) + r")\b"),
 )
+#: Headings after which a party is named.
+PARTY_HEADINGS = ("between", "and", "by and between", "among", "parties")
 #: Fields of the document map: categories and rules that count as evidence.
 FIELDS = {
     "parties": [],
