@@ -123,3 +123,15 @@ def test_chat_round_trip(spark):
         made = sum(r == "assistant" for r, _ in turns) + (turns[-1][0] != "assistant")
         assert examples.where(F.col("conv_id").eqNullSafe(c)).count() == made
     assert chat_format.prefix_targets(docs.limit(0)).count() == 0
+
+
+def test_every_template_of_one_text_is_found_and_long_texts_end(spark):
+    """All templates in one text; one word 100,000 times; repeated rows; each label by brute force."""
+    every = " ; ".join(said for _, said, _ in license_scan.TEMPLATES)
+    rows = [(1, every), (2, "license " * 100_000), (3, "mit license"), (3, "mit license"), (4, "The MIT  Licence or cc by 4"), (5, "x " * 50_000 + "cc by 4 0 mozilla public license v 2 0")]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("labels", F.lit("clash"))).collect()
+    for r in got:
+        said = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", dict(rows)[r.doc_id].lower()))
+        want = {label for label, _, key in license_scan.TEMPLATES if f" {key} " in f" {said} "} | {label for phrase, label in license_scan.PHRASES if f" {phrase} " in f" {said} "}
+        assert r.labels == sorted(want), r.doc_id
+    assert len(got) == len(rows) and {r.n_words for r in got if r.doc_id == 2} == {100_000}
