@@ -204,6 +204,18 @@ def rule_prompts(spark, sf_dir):
     return evidence.review_prompts(_hits(spark, sf_dir)).select("doc_id", "rule_id", "n", "batch", F.size("places").alias("places"), "prompt")
 
 
+_ORDER = ", ".join(f"('{r.id}', {i})" for i, r in enumerate(RULES) if r.id in {e[1] for e in EXPECTED})
+RULE_PROMPTS_SQL = f"""WITH {CLAUSES_SQL}, {_EXPECTED_SQL}, o(rule_id, rule_order) AS (VALUES {_ORDER}), f(family, fam) AS (VALUES ('money', 0), ('time', 1), ('duty', 2), ('exit', 3), ('data-ip', 4)),
+v(relevance, rank) AS (VALUES ('primary', 0), ('secondary', 1), ('background', 2)),
+h AS (SELECT *, 'clause ' || CASE k WHEN 0 THEN '4.' || order_id WHEN 1 THEN '5.1' WHEN 2 THEN '6.2' WHEN 3 THEN '7.3' ELSE '8' END AS clause FROM c JOIN e USING (k) JOIN o USING (rule_id) JOIN f USING (family) JOIN v USING (relevance)),
+p AS (SELECT *, CASE rule_id WHEN 'money.payment-terms' THEN 'Check ' || clause || ': is Rs. ' || amount || '/- the sum you expect, and when is it due?'
+  WHEN 'exit.notice' THEN 'Check ' || clause || ': is ' || n || ' days the same for both sides?'
+  WHEN 'money.deposit' THEN 'When is the deposit of ' || clause || ' due back, and what may be kept of it?' ELSE 'Read ' || clause || '.' END AS prompt FROM h),
+g AS (SELECT doc_id, rule_id, fam, rank, rule_order, CAST(count(DISTINCT paragraph_index) AS INT) AS places, arg_min(prompt, paragraph_index) AS prompt FROM p GROUP BY ALL)
+SELECT doc_id, rule_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY rank, fam, rule_order) AS INT) AS n,
+  CAST((row_number() OVER (PARTITION BY doc_id ORDER BY fam, rank, rule_order) - 1) // 8 AS INT) AS batch, places, prompt FROM g"""
+
+
 def family_summary(spark, sf_dir):
     docs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"))
     return rules.family_summary(docs, _hits(spark, sf_dir)).select("doc_id", "family", "hits", "places", F.array_join("rules", ",").alias("rules"))
@@ -320,7 +332,7 @@ SELECT doc_id, item_id, count(*) AS shared FROM dr JOIN br USING (run) GROUP BY
 
 def claim_checks(spark, sf_dir):
     """Claims made from the clauses: right ones, quotes from elsewhere, unknown ids and short quotes, by order number."""
-    c = clauses(spark, sf_dir).where("order_id % 7 = 4 OR order_id % 7 = 1")
+    c = clauses(spark, sf_dir)
     k = F.col("order_id") % 4
     said = c.select(
         F.col("doc_id").alias("response_id"), F.col("order_id").alias("claim_index"), F.lit("The clause says how this ends.").alias("text"),
@@ -333,7 +345,7 @@ def claim_checks(spark, sf_dir):
 
 
 CLAIM_CHECKS_SQL = f"""WITH {CLAUSES_SQL} SELECT doc_id AS response_id, order_id AS claim_index,
-  CASE order_id % 4 WHEN 1 THEN 'unknown-chunk' WHEN 2 THEN 'quote-too-short' WHEN 3 THEN 'quote-not-found' ELSE 'accepted' END AS verdict FROM c WHERE k IN (1, 4)"""
+  CASE order_id % 4 WHEN 1 THEN 'unknown-chunk' WHEN 2 THEN 'quote-too-short' WHEN 3 THEN 'quote-not-found' ELSE 'accepted' END AS verdict FROM c"""
 
 
 def _sessions(spark, sf_dir, seconds):
@@ -359,6 +371,14 @@ def token_bucket(spark, sf_dir):
     return state.token_bucket(asked, 1)
 
 
+TOKEN_BUCKET_SQL = """WITH RECURSIVE e AS (SELECT event_id, user_id AS client, epoch_ms(CAST(ts AS TIMESTAMP)) AS now_ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(CAST(ts AS TIMESTAMP)), event_id) AS i FROM events),
+b AS (
+  SELECT client, i, event_id, now_ms, 1.0::DOUBLE AS had FROM e WHERE i = 1
+  UNION ALL SELECT e.client, e.i, e.event_id, e.now_ms, least(1.0::DOUBLE, CASE WHEN b.had >= 1 THEN b.had - 1 ELSE b.had END + (e.now_ms - b.now_ms) * (1::DOUBLE / 60000)) FROM b JOIN e ON e.client = b.client AND e.i = b.i + 1
+)
+SELECT event_id, client, CAST(CASE WHEN had >= 1 THEN 0 ELSE greatest(1, ceil((1 - had) / (1::DOUBLE / 60000) / 1000)) END AS INT) AS retry_after FROM b"""
+
+
 def _deadlines(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     kind = F.when(F.col("o_orderkey") % 2 == 0, "user").otherwise("document")
@@ -432,6 +452,9 @@ def layout_paragraphs(spark, sf_dir):
     return positioned.paragraphs(positioned.lines(runs)).select("doc_id", "paragraph_index", "text")
 
 
+LAYOUT_SQL = """SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS INT) AS paragraph_index,
+  'Part ' || l_partkey || ' is sent under flag ' || l_returnflag AS text FROM lineitem"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -448,5 +471,5 @@ ORACLE_SQL = {
     "instruction_flags": INSTRUCTION_FLAGS_SQL, "dates_found": DATES_FOUND_SQL, "timeline": TIMELINE_SQL, "evidence_capped": EVIDENCE_SQL,
     "document_map": DOCUMENT_MAP_SQL, "compare_versions": COMPARE_SQL, "dice_pairs": DICE_SQL, "benchmark_echo": BENCHMARK_ECHO_SQL,
     "claim_checks": CLAIM_CHECKS_SQL, "sessions_30m": _sessions_sql(1800), "sessions_6h": _sessions_sql(21_600), "urgent_deadline": URGENT_SQL,
-    "flow_state": FLOW_SQL, "resource_routing": ROUTING_SQL,
+    "flow_state": FLOW_SQL, "resource_routing": ROUTING_SQL, "rule_prompts": RULE_PROMPTS_SQL, "token_bucket": TOKEN_BUCKET_SQL, "layout_paragraphs": LAYOUT_SQL,
 }
