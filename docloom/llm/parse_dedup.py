@@ -36,8 +36,6 @@ from docloom.llm.rolling import OTHER_BYTES, blocks, mixed, powers, prefix, runs
 GRAM = 40
 CHUNK = 4096  # contexts of one trigger in a task
 BATCH = 4096  # contexts of several triggers that are sorted together, about
-#: Tables with a list of ranges for each text are broadcast up to this counted number of ranges, at most 12 MB.
-RANGES = 250_000
 
 
 def parse(texts: list[bytes], length: int = 200, gram: int = GRAM, told: bool = True) -> dict[str, np.ndarray]:
@@ -182,7 +180,7 @@ def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 FOUND = "key long, mark long, a long, b long, digest binary, once boolean"
 
 
-def _compared(copies: DataFrame, rows: int, length: int, gram: int) -> DataFrame:
+def _compared(copies: DataFrame, length: int, gram: int) -> DataFrame:
     """Spans (a, b) of the texts of contexts that occur once. copies: COPY with parts, the number of parts of their trigger.
 
     Of triggers in several parts also a digest of each string, once for each part: with a place if it
@@ -234,51 +232,57 @@ def repeated_spans(rows: DataFrame, length: int = 200, gram: int = GRAM, say=Non
     t = Tables(rows.sparkSession)
     # Written apart from its sums, so that both sides of the join are dealt for it and a frequent gram can be split.
     twice = t.keep("grams", grams(rows, length, gram).groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram"))
-    shared = t.keep("shared", parsed(rows, length, gram).join(twice, "gram"))
-    context = ["context", "check"]
-    lone = t.keep("once", shared.groupBy(*context).agg(F.count("*").alias("k"), F.first("gram").alias("gram")).where("k = 1").drop("k"))
-    count = lone.count()
-    marked = attach(shared, lone.select(*context, F.lit(True).alias("once")), context, count, "left", most=BROADCAST_NUMBERS)
-    told = t.keep("told", marked.withColumn("once", F.coalesce("once", F.lit(False))))
-    t.drop("shared", "grams")
-    own = t.keep("own", lone.select("gram").distinct())
-    own_count = own.count()
-    beside = attach(told.where("NOT once"), own, ["gram"], own_count, most=BROADCAST_NUMBERS).dropDuplicates(context)
+    shared = t.keep("shared", parsed(rows, length, gram).join(twice.hint("merge"), "gram"))
+    # One row for each context. Where it occurs once that is its only row, so no join has to find it again.
+    one = [F.first(c).alias(c) for c in ("key", "mark", "gram", "place")]
+    each = t.keep("contexts", shared.groupBy("context", "check").agg((F.count("*") == 1).alias("once"), *one))
+    own = t.keep("own", each.where("once").select("gram").distinct())
     columns = ("key", "mark", "gram", "context", "once", "place")
-    compared = t.keep("compared", told.where("once").select(*columns).unionByName(beside.select(*columns)))
-    total = compared.count()
+    beside = each.where("NOT once").join(own.hint("merge"), "gram", "left_semi")
+    compared = t.keep("compared", each.where("once").select(*columns).unionByName(beside.select(*columns)))
     if say:
-        say("once", count, "compared", total)
+        say("once", each.where("once").count(), "compared", compared.count())
     asked = compared.groupBy("key", "mark").agg(F.collect_list(F.struct("place", "context", "gram", "once")).alias("wanted"))
     parts = t.keep("parts", compared.groupBy("gram").agg(F.ceil(F.count("*") / CHUNK).alias("parts")).where("parts > 1"))
     several = parts.count()
-    copies = _copies(_with(rows, asked, total, "inner"), length)
+    copies = _copies(_with(rows, asked, "inner"), length)
     sized = attach(copies, parts, ["gram"], several, "left", most=BROADCAST_NUMBERS).select("key", "mark", "gram", "context", "once", "place", "bytes", F.coalesce("parts", F.lit(1)).alias("parts"))
-    found = t.keep("found", _compared(sized, total, length, gram))
-    open_ = found.where("digest IS NULL").select("key", "mark", F.struct("a", "b").alias("s"))
+    found = t.keep("found", _compared(sized, length, gram))
+    open_ = found.where("digest IS NULL").select("key", "mark", "a", "b")
     if several:
         again = found.where("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("k")).where("k > 1").select("digest")
-        open_ = open_.unionByName(found.where("once").join(again, "digest").select("key", "mark", F.struct("a", "b").alias("s")))
-    start, n = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255)
-    settled = told.where("NOT once").select("key", "mark", F.struct(start.alias("a"), (start + n - 1 + length).alias("b")).alias("s"))
-    every = settled.unionByName(open_).groupBy("key", "mark").agg(F.collect_list("s").alias("spans"))
-    spans = t.keep("spans", every.mapInArrow(_merged_rows, "key long, mark long, spans array<struct<a:long,b:long>>"))
+        open_ = open_.unionByName(found.where("once").join(again, "digest").select("key", "mark", "a", "b"))
+    # Told as a place whose last byte is its kind. A set holds what copies of a row repeat only once.
+    kind = lambda df, k: df.select("key", "mark", (F.shiftleft(F.shiftright("place", 8), 8) + F.lit(k)).alias("s"))
+    place = F.shiftleft(F.col("a"), 16) + F.shiftleft(F.col("b") - F.col("a") - length + 1, 8)
+    every = kind(shared, READ).unionByName(kind(each.where("once"), ONCE)).unionByName(kind(open_.withColumn("place", place), EQUAL))
+    lists = every.groupBy("key", "mark").agg(F.collect_set("s").alias("spans"))
+
+    def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole)):
+            made = [merged(_settled(s, length)) for s in batch.column(2).to_pylist()]
+            spans = pa.array([[{"a": a, "b": b} for a, b in m] for m in made], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), spans], ["key", "mark", "spans"]).filter(pa.array([bool(m) for m in made]))
+
+    spans = t.keep("spans", lists.mapInArrow(covered, "key long, mark long, spans array<struct<a:long,b:long>>"))
     t.drop(*(name for name in list(t.paths) if name != "spans"))
     return spans
 
 
-def _merged_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-    for batch in (part for whole in batches for part in slices(whole)):
-        runs_ = [[{"a": a, "b": b} for a, b in merged([(x["a"], x["b"]) for x in s])] for s in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs_, kind)], ["key", "mark", "spans"])
+#: Kinds of places: all contexts as read, those that occur once, strings of these that have an equal one.
+READ, ONCE, EQUAL = 0, 1, 2
+
+
+def _settled(places: list[int], length: int) -> list[tuple[int, int]]:
+    """The ranges of places that are repeated: all that were read but those that occur once, and strings with an equal one."""
+    once = {p >> 8 for p in places if p & 255 == ONCE}
+    return [(p >> 16, (p >> 16) + (p >> 8 & 255) - 1 + length) for p in places if p & 255 == EQUAL or p & 255 == READ and p >> 8 not in once]
 
 
-def _with(rows: DataFrame, lists: DataFrame, total: int, how: str) -> DataFrame:
-    """rows with the lists of their texts; total is the length of all lists."""
+def _with(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """rows with the lists of their texts, by shuffle at every size: the lists grow with the corpus."""
     on = [rows["key"].eqNullSafe(lists["key"]), rows["mark"].eqNullSafe(lists["mark"])]
-    side = F.broadcast(lists) if total <= RANGES else lists
-    return rows.join(side, on[0] & on[1], how).select(*(rows[c] for c in rows.columns), *(lists[c] for c in lists.columns if c not in ("key", "mark")))
+    return rows.join(lists.hint("merge"), on[0] & on[1], how).select(*(rows[c] for c in rows.columns), *(lists[c] for c in lists.columns if c not in ("key", "mark")))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -306,11 +310,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(F.col(key).cast("long").alias("key"), mark.alias("mark"), F.col(text).alias("text"))
     spans = repeated_spans(rows, length, gram, say)
-    total = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
     wide = docs.withColumns({"key_": F.col(key).cast("long"), "mark_": mark})
     side = spans.select(F.col("key").alias("k_"), F.col("mark").alias("m_"), "spans")
-    side = F.broadcast(side) if total <= RANGES else side
-    joined = wide.join(side, F.col("key_").eqNullSafe(F.col("k_")) & F.col("mark_").eqNullSafe(F.col("m_")), "left").drop("key_", "mark_", "k_", "m_")
+    joined = wide.join(side.hint("merge"), F.col("key_").eqNullSafe(F.col("k_")) & F.col("mark_").eqNullSafe(F.col("m_")), "left").drop("key_", "mark_", "k_", "m_")
     names, at = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
