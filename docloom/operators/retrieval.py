@@ -15,21 +15,27 @@ from docloom.plans.registry import STOPWORDS, SYNONYMS
 K1, B = 1.2, 0.75
 
 
-def index(chunks: DataFrame, scope: Sequence[str] = ("doc_id",), chunk: str = "paragraph_index", stemmed: bool = True, headings: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def index(chunks: DataFrame, scope: Sequence[str] = ("doc_id",), chunk: str = "paragraph_index", stemmed: bool = True, headings: bool = False, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """postings (scope, chunk, term, tf), lengths (scope, chunk, len) and stats (scope, n, avg).
 
     scope names the columns within which chunks compete; none for the whole corpus. Headings don't
     take part unless asked for. Python sees each distinct token once, and none without stemmed.
+    With terms (term) only their postings are made: no other token of the corpus is shuffled for
+    them. Lengths and stats are of all tokens in any case.
     """
     scope = list(scope)
     read = chunks if headings else chunks.where(~is_heading(F.col("text")))
     each = read.select(*scope, chunk, F.explode(tokens(F.col("text"))).alias("token")).withColumn("token", spelled(F.col("token")))
-    counts = each.groupBy(*scope, chunk, "token").agg(F.count("*").alias("tf"))
     if stemmed:
-        counts = counts.join(vocabulary(counts), "token")
+        names = vocabulary(each)
+        names = names if terms is None else names.join(terms.select("term"), "term", "left_semi")
+    if stemmed and terms is None:  # counted before it is joined: many tokens of a chunk are equal
+        counts = each.groupBy(*scope, chunk, "token").agg(F.count("*").alias("tf")).join(names, "token")
         postings = counts.groupBy(*scope, chunk, "term").agg(F.sum("tf").alias("tf"))
     else:
-        postings = counts.withColumnRenamed("token", "term")
+        said = each.join(names, "token") if stemmed else each.withColumnRenamed("token", "term")
+        said = said if stemmed or terms is None else said.join(terms.select("term"), "term", "left_semi")
+        postings = said.groupBy(*scope, chunk, "term").agg(F.count("*").alias("tf"))
     lengths = read.select(*scope, chunk, F.size(tokens(F.col("text"))).cast("long").alias("len"))
     stats = lengths.groupBy(*scope).agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
     return postings, lengths, stats
@@ -57,7 +63,7 @@ def search(terms: DataFrame, built: tuple[DataFrame, DataFrame, DataFrame], scop
     """
     postings, lengths, stats = built
     scope = list(scope)
-    found = postings.join(F.broadcast(terms), "term") if _few(terms) else postings.join(terms, "term")
+    found = postings.join(terms, "term")
     typed = found.groupBy("query_id", *scope, "surface").agg(F.max((F.col("origin") == "query").cast("int")).alias("typed"))
     df = found.groupBy("query_id", *scope, "term").agg(F.count("*").alias("df"))
     rows = found.join(df, ["query_id", *scope, "term"]).join(typed, ["query_id", *scope, "surface"]).join(lengths, [*scope, chunk])
@@ -71,7 +77,3 @@ def search(terms: DataFrame, built: tuple[DataFrame, DataFrame, DataFrame], scop
     ranked = scored.withColumn("rank", F.row_number().over(order))
     ranked = ranked if limit is None else ranked.where(F.col("rank") <= limit)
     return ranked.select("query_id", *scope, chunk, "score", "rank", F.transform("m", lambda x: x["surface"]).alias("matched"))
-
-
-def _few(terms: DataFrame, most: int = 100_000) -> bool:
-    return terms.limit(most + 1).count() <= most

@@ -125,8 +125,9 @@ def _asked(spark, text=TERMS):
 
 
 def bm25_topk_corpus(spark, sf_dir):
-    built = retrieval.index(table(spark, sf_dir, "documents").select("doc_id", "text"), (), "doc_id", stemmed=False, headings=True)
-    found = retrieval.search(retrieval.query_terms(_asked(spark), False, stemmed=False), built, (), "doc_id", 20)
+    terms = retrieval.query_terms(_asked(spark), False, stemmed=False)
+    built = retrieval.index(table(spark, sf_dir, "documents").select("doc_id", "text"), (), "doc_id", stemmed=False, headings=True, terms=terms)
+    found = retrieval.search(terms, built, (), "doc_id", 20)
     return found.select("doc_id", F.round("score", 6).alias("score"), "rank", F.array_join("matched", " ").alias("matched"))
 
 
@@ -147,16 +148,17 @@ SELECT doc_id, {by} round(score, 6) AS score, rank, matched FROM r WHERE rank <=
 
 
 def bm25_topk_per_source(spark, sf_dir):
-    built = retrieval.index(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ("source",), "doc_id", stemmed=False, headings=True)
-    found = retrieval.search(retrieval.query_terms(_asked(spark), False, stemmed=False), built, ("source",), "doc_id", 3)
+    terms = retrieval.query_terms(_asked(spark), False, stemmed=False)
+    built = retrieval.index(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ("source",), "doc_id", stemmed=False, headings=True, terms=terms)
+    found = retrieval.search(terms, built, ("source",), "doc_id", 3)
     return found.select("doc_id", "source", F.round("score", 6).alias("score"), "rank", F.array_join("matched", " ").alias("matched"))
 
 
 def ask_clauses(spark, sf_dir):
     """Stemmed retrieval with synonyms over each customer's clauses: five passages for each question."""
-    built = retrieval.index(clauses(spark, sf_dir), ("doc_id",))
     asked = spark.createDataFrame([(1, "How much notice do I need to leave?"), (2, "When do I get my deposit back from the landlord?")], "query_id int, query string")
-    found = retrieval.search(retrieval.query_terms(asked), built)
+    terms = retrieval.query_terms(asked)
+    found = retrieval.search(terms, retrieval.index(clauses(spark, sf_dir), ("doc_id",), terms=terms))
     return found.select("query_id", "doc_id", "paragraph_index", F.round("score", 6).alias("score"), "rank", F.array_join("matched", " ").alias("matched"))
 
 
