@@ -71,6 +71,9 @@ def test_retrieval(spark):
     got = retrieval.search(retrieval.query_terms(asked), built).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.paragraph_index, r.matched) for r in got if r.query_id == 1] == [(1, 2, ["terminating", "notices"])]
     assert [r.paragraph_index for r in got if r.query_id == 3] == [1, 2] and not [r for r in got if r.query_id == 2]
+    terms = retrieval.query_terms(asked)
+    narrow = retrieval.search(terms, retrieval.index(chunks, terms=terms)).orderBy("query_id", "rank")
+    assert narrow.collect() == got
 
 
 def test_compare(spark):
