@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from docloom.functions.text import let, match_form, pattern
-from docloom.plans.registry import LANGUAGE
+from docloom.plans.registry import LANGUAGE, REVIEW_REGISTER
 
 MAX_CLAIMS, MAX_TEXT, MAX_QUOTE, MAX_CITED, MIN_QUOTE_WORDS = 8, 400, 300, 3, 3
 ECHO_WORDS, ECHO_WINDOW, ECHO_STEP, ECHO_SHARE, ECHO_SLACK = 8, 16, 4, 0.7, 1.5
@@ -83,6 +83,62 @@ def near_echo(instructions: Sequence[str]):
     return run
 
 
+def echoes_across(claims: DataFrame, instructions: Sequence[str], n: int = ECHO_WORDS, window: int = ECHO_WINDOW) -> DataFrame:
+    """response_id, claim_index of the claims over whose borders the instructions are recited. claims: response_id, claim_index, text.
+
+    Every claim with a word in a run of n words of the instructions that passes a border counts; so do
+    both neighbours of a border around which half a window of words on each side recites them nearly.
+    A response holds at most 8 claims of bounded length, so it is one row here.
+    """
+    said = F.array_sort(F.collect_list(F.struct("claim_index", words(F.col("text")).alias("w"))))
+    each = claims.groupBy("response_id").agg(said.alias("c"))
+    spoken = F.flatten(F.transform("c", lambda c: F.transform(c["w"], lambda w: F.struct(w.alias("w"), c["claim_index"].alias("claim")))))
+    told = F.array_distinct(F.flatten(F.array(*(runs(F.lit(t), n) for t in instructions)))) if instructions else F.array().cast("array<string>")
+
+    def recited(t: Column) -> Column:
+        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
+        parts = F.transform(starts, lambda i: F.slice(t, i, n))
+        over = F.filter(parts, lambda p: (F.get(p, F.lit(0))["claim"] != F.get(p, F.lit(n - 1))["claim"]) & F.array_contains(told, F.array_join(F.transform(p, lambda x: x["w"]), " ")))
+        return F.flatten(F.transform(over, lambda p: F.transform(p, lambda x: x["claim"])))
+
+    exact = each.select("response_id", F.explode(F.array_distinct(let(spoken, recited))).alias("claim_index"))
+    following = F.lead("w").over(W.partitionBy("response_id").orderBy("claim_index"))
+    parted = claims.select("response_id", "claim_index", words(F.col("text")).alias("w"))
+    next_index = F.lead("claim_index").over(W.partitionBy("response_id").orderBy("claim_index"))
+    half = window // 2
+    around = parted.select("response_id", "claim_index", next_index.alias("next"), F.array_join(F.concat(F.slice("w", F.greatest(F.size("w") - half + 1, F.lit(1)), F.lit(half)), F.slice(following, 1, half)), " ").alias("around")).where("next IS NOT NULL")
+    nearly = around.where(near_echo(instructions)("around")).select("response_id", F.explode(F.array("claim_index", "next")).alias("claim_index")) if instructions else exact.limit(0)
+    return exact.unionByName(nearly).distinct()
+
+
+def resolve(claims: DataFrame, chunks: DataFrame, sure: float = 0.6) -> DataFrame:
+    """claims with status, problem, excerpts (chunk ids found, in order of citation), unresolved and low_confidence, as a reader's page would show them.
+
+    status: grounded, or ungrounded with the problem invalid-claim (a part is null or out of range),
+    no-citations or unresolved-citations (none is there). claims: response_id, claim_index, text,
+    quote, source_chunk_ids, confidence. chunks: response_id, chunk_id.
+    """
+    ids = F.array_distinct("source_chunk_ids")
+    cited = claims.select("response_id", "claim_index", F.posexplode(ids).alias("_at", "chunk_id"))
+    there = cited.join(chunks.select("response_id", "chunk_id", F.lit(True).alias("_there")).distinct(), ["response_id", "chunk_id"], "left")
+    listed = lambda found: F.transform(F.array_sort(F.collect_list(F.when(F.col("_there").isNotNull() == F.lit(found), F.struct("_at", "chunk_id")))), lambda x: x["chunk_id"])
+    per = there.groupBy("response_id", "claim_index").agg(listed(True).alias("excerpts"), listed(False).alias("unresolved"))
+    rows = claims.join(per, ["response_id", "claim_index"], "left")
+    fine = F.col("text").isNotNull() & F.col("quote").isNotNull() & F.col("source_chunk_ids").isNotNull() & F.coalesce(F.col("confidence").between(0, 1), F.lit(False))
+    problem = F.when(~fine, "invalid-claim").when(F.size("source_chunk_ids") == 0, "no-citations").when(F.size(F.coalesce("excerpts", F.array().cast("array<string>"))) == 0, "unresolved-citations")
+    rows = rows.withColumn("problem", problem)
+    return rows.withColumns({"status": F.when(F.col("problem").isNull(), "grounded").otherwise("ungrounded"), "low_confidence": F.col("problem").isNull() & (F.col("confidence") < sure)})
+
+
+def in_review_register(text: Column) -> Column:
+    """Whether a statement puts something to the reader: a question, a request at the start of a clause, a hint what to do, or a gap of the document. Empty ones pass."""
+    said = match_form(text)
+    hit = F.lit(False)
+    for p in REVIEW_REGISTER:
+        hit = hit | said.rlike(pattern(p))
+    return F.when(said == "", F.lit(True)).otherwise(hit)
+
+
 def validate(claims: DataFrame, chunks: DataFrame, instructions: Sequence[str] = (), language: Mapping[str, Sequence[str]] = LANGUAGE) -> DataFrame:
     """claims with reason (null: accepted) and supporting: the cited ids, those that carry the quote first.
 

@@ -27,6 +27,19 @@ def timeline(paragraphs: DataFrame, hits: DataFrame, key: str = "doc_id") -> Dat
     return found.select(key, F.row_number().over(order).alias("n"), "date", "written", "paragraph_index", "kinds", "alternative", F.coalesce(F.transform("t", lambda x: x["title"]), F.array().cast("array<string>")).alias("topics"))
 
 
+def timeline_days(line: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, date, day (as "5 May 2026"), entries (n, written, paragraph_index): the rows of a timeline under one heading for each day."""
+    entry = F.struct("n", "written", "paragraph_index")
+    return line.groupBy(key, "date").agg(F.date_format("date", "d MMMM yyyy").alias("day"), F.array_sort(F.collect_list(entry)).alias("entries"))
+
+
+def doubt(kinds: Column, alternative: Column) -> Column:
+    """What is uncertain about a date, in one text; null where nothing is."""
+    order = F.concat(F.lit("Day and month may be the other way round: "), F.coalesce(F.date_format(alternative, "d MMMM yyyy"), F.lit("another date")), F.lit("."))
+    said = F.transform(kinds, lambda k: F.when(k == "day-month-order", order).otherwise("The year has two digits."))
+    return F.when(F.size(kinds) > 0, F.concat_ws(" ", said, F.lit("Check it in the document.")))
+
+
 def parties(paragraphs: DataFrame, key: str = "doc_id", most: int = 4, cues: Sequence[tuple[int, str]] = PARTY_CUES) -> DataFrame:
     """key, paragraph_index, weight, matched: paragraphs that name a party, the strongest cues first."""
     text, before = F.col("text"), F.lag("text").over(W.partitionBy(key).orderBy("paragraph_index"))

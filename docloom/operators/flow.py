@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.operators.rules import flags
-from docloom.plans.registry import ROUTING, SAFETY_CUES
+from docloom.operators.rules import Rule, flags, rules_for_stage
+from docloom.plans.registry import ROUTING, RULES, SAFETY_CUES, STAGE_PLANS
 
 URGENT_DAYS = 7
 
@@ -40,6 +42,33 @@ def state(journeys: DataFrame, urgent: DataFrame, alarms: DataFrame) -> DataFram
     return journeys.join(urgent, "journey_id", "left").join(alarms, "journey_id", "left").select("journey_id", "stage", status.alias("status"))
 
 
+def look_for(stage: str, rules: Sequence[Rule] = RULES) -> list[str]:
+    """Ids of the stage's rules that are not in the background: the primary ones first, families in the order of its plan."""
+    families = STAGE_PLANS[stage][0]
+    return [r.id for r in sorted(rules_for_stage(rules, stage), key=lambda r: (r.relevance(stage) != "primary", families.index(r.family)))]
+
+
+def decisions(states: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """states (journey_id, stage, status and, where known, deadline) with what follows from them.
+
+    analysis: skip for an alarm, run in review, else wait. families, asks, outputs and look_for are the
+    stage's plan, empty unless the analysis runs. answer_style is brief and official_contact true where
+    a deadline is near and nothing is alarmed.
+    """
+    alarm, runs = F.col("status") == "safety-escalation", F.col("status").isin("review", "urgent-review")
+    texts = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+    plan = {name: [F.when(runs & (F.col("stage") == s), texts(of(s))) for s in STAGE_PLANS] for name, of in (
+        ("families", lambda s: STAGE_PLANS[s][0]), ("asks", lambda s: STAGE_PLANS[s][1]), ("outputs", lambda s: STAGE_PLANS[s][2]), ("look_for", lambda s: look_for(s, rules)),
+    )}
+    near = (F.col("deadline").isNotNull() if "deadline" in states.columns else F.col("status") == "urgent-review") & ~alarm
+    return states.withColumns({
+        "analysis": F.when(alarm, "skip").when(runs, "run").otherwise("wait"),
+        **{name: F.coalesce(*each, texts(())) for name, each in plan.items()},
+        "answer_style": F.when(near, "brief").otherwise("full"),
+        "official_contact": near,
+    })
+
+
 def route(concerns: DataFrame) -> DataFrame:
     """concern beside its resources in order. concerns: a column concern and any others."""
     table = F.create_map(*(x for k, v in ROUTING.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))

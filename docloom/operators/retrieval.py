@@ -60,10 +60,11 @@ def search(terms: DataFrame, built: tuple[DataFrame, DataFrame, DataFrame], scop
     """query_id, scope, chunk, score, rank, matched (typed words in their order): best first, ties by chunk.
 
     A synonym counts in full where the word it stands for is nowhere in the scope. limit None ranks all.
+    Terms that have columns of the scope are asked of that scope alone.
     """
     postings, lengths, stats = built
     scope = list(scope)
-    found = postings.join(terms, "term")
+    found = postings.join(terms, ["term", *(c for c in scope if c in terms.columns)])
     typed = found.groupBy("query_id", *scope, "surface").agg(F.max((F.col("origin") == "query").cast("int")).alias("typed"))
     df = found.groupBy("query_id", *scope, "term").agg(F.count("*").alias("df"))
     rows = found.join(df, ["query_id", *scope, "term"]).join(typed, ["query_id", *scope, "surface"]).join(lengths, [*scope, chunk])

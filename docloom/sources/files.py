@@ -31,6 +31,20 @@ def name_problem(name: Column) -> Column:
     return F.when(name.rlike(r"[/\\]|^\.\.?$"), "path").when(name.rlike(r"[\x00-\x1F\x7F‎‏‪-‮⁦-⁩]"), "control").when(F.length(name) > 255, "too-long")
 
 
+def safe_name(name: Column, most: int = 120) -> Column:
+    """The name that is kept: the last part of a path, single blanks, no control or layout signs, at most so many characters with the extension kept; "document" where nothing is left.
+
+    Composition of letters is left as it is.
+    """
+    last = F.element_at(F.split(name, r"[/\\\\]"), -1)
+    shown = F.regexp_replace(last, r"[\u200B-\u200F\u202A-\u202E\u2060-\u2069\uFEFF\u00AD]", "")
+    clean = F.trim(F.regexp_replace(F.regexp_replace(shown, r"\s+", " "), r"\p{Cc}", ""))
+    end = F.regexp_extract(clean, r"(?i)\.[a-z0-9]{1,10}\z", 0)
+    stem = F.substring(clean, F.lit(1), F.least(F.length(clean) - F.length(end), F.lit(most) - F.length(end)))
+    short = F.when(F.length(clean) <= most, clean).otherwise(F.concat(F.rtrim(stem), end))
+    return F.when(F.coalesce(clean, F.lit("")) == "", "document").otherwise(short)
+
+
 def decode(data: bytes) -> str:
     """UTF-16 by its mark, strict UTF-8, else Windows-1252 with its five open places as control characters."""
     if data[:2] in (b"\xff\xfe", b"\xfe\xff"):

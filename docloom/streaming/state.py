@@ -28,6 +28,25 @@ def sessions_stream(events: DataFrame, ttl_seconds: int, late: str = "10 minutes
     return events.withWatermark(ts, late).groupBy(user, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("accesses")).select(user, F.col("w.start").alias("started"), F.col("w.end").alias("ends"), "accesses")
 
 
+def expired(held: DataFrame, now_ms: int) -> DataFrame:
+    """The sessions (session_id, expires_at_ms, ...) whose time is over at now_ms: a sweep deletes these, one at its last moment included."""
+    return held.where(F.col("expires_at_ms") <= now_ms)
+
+
+def session_view(sessions: DataFrame, documents: DataFrame, outputs: DataFrame, kinds: tuple[str, ...] = ("documentMap", "reviewPrompts", "compare")) -> DataFrame:
+    """What a session shows of itself: its fields, its documents (slot, name, page_count, word_count, paragraph_count) by slot, and which outputs it has, never their texts.
+
+    sessions: session_id, stage, document_type, expires_at_ms. documents: session_id and those fields. outputs: session_id, kind.
+    """
+    item = F.struct("slot", "name", "page_count", "word_count", "paragraph_count")
+    held = documents.groupBy("session_id").agg(F.array_sort(F.collect_list(item)).alias("documents"))
+    made = outputs.groupBy("session_id").agg(F.collect_set("kind").alias("made"))
+    rows = sessions.join(held, "session_id", "left").join(made, "session_id", "left")
+    has = F.struct(*(F.coalesce(F.array_contains("made", k), F.lit(False)).alias(k) for k in kinds))
+    ends = F.date_format(F.timestamp_millis("expires_at_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return rows.select("session_id", "stage", "document_type", ends.alias("expires_at"), "documents", has.alias("outputs"))
+
+
 def spend(times_ms: list[int], per_minute: int, tokens: float | None = None, at: int | None = None) -> tuple[list[int], float, int]:
     """(seconds to wait for each request, 0 if it may go ahead; tokens left; time of the last one)."""
     rate = per_minute / 60_000
