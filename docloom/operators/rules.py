@@ -109,20 +109,33 @@ def evaluate(paragraphs: DataFrame, rules: Sequence[Rule], stage: str | None = N
     reading: by relevance at the stage, place and rule.
     """
     used = [(i, r) for i, r in enumerate(rules) if document_type is None or not r.types or document_type in r.types]
-    text, label = F.col("text"), F.col("clause")
-
-    def hit(i: int, r: Rule) -> Column:
+    text, at = F.col("text"), F.col("rule_order")
+    read = paragraphs.where(~F.col("heading") & (F.trim("text") != "")).select(key, "paragraph_index", "text", "clause")
+    # First which rules fire; what they matched is read from their rows alone, and only where it is asked for.
+    fired = F.array_compact(F.array(*(F.when(fires(r, text), F.lit(i)) for i, r in used))) if used else F.array().cast("array<int>")
+    hits = read.withColumn("rule_order", F.explode(fired))
+
+    def said(of) -> Column:
+        """of(rule) for the row's rule, a constant."""
+        return F.get(F.array(*(F.lit(of(r)) for r in rules)).cast("array<string>"), at)
+
+    def made(of, none: Column) -> Column:
+        """of(rule), an expression over the text, for the row's rule."""
+        out = none
+        for i, r in used:
+            out = F.when(at == i, of(r)) if out is none else out.when(at == i, of(r))
+        return out
+
+    def prompt(r: Rule) -> Column:
         caught = captured(r, text)
-        values = {name: F.element_at(caught, name) for name in r.captures} | {"clause": clause_name(label)}
-        return F.when(fires(r, text), F.struct(
-            F.lit(r.id).alias("rule_id"), F.lit(r.family).alias("family"), F.lit(r.category).alias("category"), F.lit(r.title).alias("title"), F.lit(i).alias("rule_order"),
-            F.lit(r.relevance(stage)).cast("string").alias("relevance"), matched(r, text).alias("matched"), caught.alias("captures"), capital(template(r.prompt, values)).alias("prompt"),
-        ))
-
-    read = paragraphs.where(~F.col("heading") & (F.trim("text") != ""))
-    if not used:
-        used = [(0, Rule("money.none", "", ["(?!)"]))]
-    hits = read.select(key, "paragraph_index", "text", "clause", F.explode(F.array_compact(F.array(*(hit(i, r) for i, r in used)))).alias("h")).select(key, "paragraph_index", "text", "clause", "h.*")
+        values = {name: F.element_at(caught, name) for name in r.captures} | {"clause": clause_name(F.col("clause"))}
+        return capital(template(r.prompt, values))
+
+    nothing = F.lit(None).cast("string")
+    hits = hits.select(
+        key, "paragraph_index", "text", "clause", said(lambda r: r.id).alias("rule_id"), said(lambda r: r.family).alias("family"), said(lambda r: r.category).alias("category"), said(lambda r: r.title).alias("title"), "rule_order",
+        said(lambda r: r.relevance(stage)).alias("relevance"), made(lambda r: matched(r, text), nothing).alias("matched"), made(lambda r: captured(r, text), F.create_map().cast("map<string,string>")).alias("captures"), made(prompt, nothing).alias("prompt"),
+    )
     rank = F.when(F.col("relevance") == "primary", 0).when(F.col("relevance") == "secondary", 1).otherwise(2)
     return hits.withColumn("hit_order", F.row_number().over(W.partitionBy(key).orderBy(rank, "paragraph_index", "rule_order")))
 
