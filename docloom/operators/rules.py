@@ -21,6 +21,17 @@ STAGES = ("before-signing", "problem-started", "compare-versions")
 RELEVANCES = ("primary", "secondary", "background")
 
 
+class Hinted(str):
+    """A pattern with hints: lower-case parts of which one at least stands in every text that it matches."""
+
+    hints: tuple[str, ...]
+
+    def __new__(cls, pattern: str, *hints: str) -> Hinted:
+        made = super().__new__(cls, pattern)
+        made.hints = tuple(dict.fromkeys(h.lower() for h in hints))
+        return made
+
+
 @dataclass(frozen=True)
 class Rule:
     id: str
@@ -71,8 +82,31 @@ def _or(tests: list[Column]) -> Column:
     return out
 
 
-def fires(rule: Rule, text: Column) -> Column:
-    """One scan for all of the any patterns; the others only where that matches."""
+def plain(text: Column) -> Column:
+    """The form in which hints are looked up: lower case, also for the two letters that fold to ASCII ones only there."""
+    return F.translate(F.lower(text), "\u017f\u212a", "sk")
+
+
+def _quoted(value: str | None) -> str:
+    """A text in Spark SQL. Long lists of constants are given to the parser at once, as each Column is a call to the JVM."""
+    return "CAST(NULL AS STRING)" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def hinted(rule: Rule, form: str) -> Column | None:
+    """Whether a text, in plain form in a column of that name, has a hint of the any patterns and of each of the all patterns; null where no pattern has any."""
+    groups = [[p] for p in rule.all] + [list(rule.any)]
+    parts = [dict.fromkeys(h for p in g for h in p.hints) for g in groups if all(isinstance(p, Hinted) and p.hints for p in g)]
+    if not parts:
+        return None
+    stands = lambda hints: " OR ".join(f"contains({form}, {_quoted(h)})" for h in hints)
+    return F.expr(" AND ".join(f"({stands(hints)})" for hints in parts))
+
+
+def fires(rule: Rule, text: Column, form: str | None = None) -> Column:
+    """One scan for all of the any patterns; the others only where that matches. With the column of its plain form no pattern is tried on a text without its hints."""
+    hint = None if form is None else hinted(rule, form)
+    if hint is not None:
+        return hint & fires(rule, text)
     every = "|".join(f"(?:{re.sub(r'[(][?]<[a-z][a-zA-Z0-9_]*>', '(?:', p)})" for p in rule.any)
     out = _hit(text, every)
     for p in rule.all:
@@ -102,22 +136,23 @@ def captured(rule: Rule, text: Column) -> Column:
     return F.map_from_entries(F.filter(F.array(*values), lambda e: e["value"].isNotNull()))
 
 
-def evaluate(paragraphs: DataFrame, rules: Sequence[Rule], stage: str | None = None, document_type: str | None = None, key: str = "doc_id") -> DataFrame:
+def evaluate(paragraphs: DataFrame, rules: Sequence[Rule], stage: str | None = None, document_type: str | None = None, key: str = "doc_id", details: bool = True) -> DataFrame:
     """One row for each paragraph and rule that fires; headings and blank paragraphs are skipped.
 
     paragraphs: key, paragraph_index, text, clause, heading. hit_order numbers a document's hits for
-    reading: by relevance at the stage, place and rule.
+    reading: by relevance at the stage, place and rule. Without details the columns matched, captures
+    and prompt are left out, and the plan is a third as large.
     """
     used = [(i, r) for i, r in enumerate(rules) if document_type is None or not r.types or document_type in r.types]
     text, at = F.col("text"), F.col("rule_order")
-    read = paragraphs.where(~F.col("heading") & (F.trim("text") != "")).select(key, "paragraph_index", "text", "clause")
+    read = paragraphs.where(~F.col("heading") & (F.trim("text") != "")).select(key, "paragraph_index", "text", "clause", plain(text).alias("_form"))
     # First which rules fire; what they matched is read from their rows alone, and only where it is asked for.
-    fired = F.array_compact(F.array(*(F.when(fires(r, text), F.lit(i)) for i, r in used))) if used else F.array().cast("array<int>")
+    fired = F.array_compact(F.array(*(F.when(fires(r, text, "_form"), F.lit(i)) for i, r in used))) if used else F.array().cast("array<int>")
     hits = read.withColumn("rule_order", F.explode(fired))
 
     def said(of) -> Column:
         """of(rule) for the row's rule, a constant."""
-        return F.get(F.array(*(F.lit(of(r)) for r in rules)).cast("array<string>"), at)
+        return F.get(F.expr(f"CAST(array({', '.join(_quoted(of(r)) for r in rules)}) AS ARRAY<STRING>)"), at)
 
     def made(of, none: Column) -> Column:
         """of(rule), an expression over the text, for the row's rule."""
@@ -131,10 +166,12 @@ def evaluate(paragraphs: DataFrame, rules: Sequence[Rule], stage: str | None = N
         values = {name: F.element_at(caught, name) for name in r.captures} | {"clause": clause_name(F.col("clause"))}
         return capital(template(r.prompt, values))
 
-    nothing = F.lit(None).cast("string")
+    nothing, more = F.lit(None).cast("string"), []
+    if details:
+        more = [made(lambda r: matched(r, text), nothing).alias("matched"), made(lambda r: captured(r, text), F.create_map().cast("map<string,string>")).alias("captures"), made(prompt, nothing).alias("prompt")]
     hits = hits.select(
         key, "paragraph_index", "text", "clause", said(lambda r: r.id).alias("rule_id"), said(lambda r: r.family).alias("family"), said(lambda r: r.category).alias("category"), said(lambda r: r.title).alias("title"), "rule_order",
-        said(lambda r: r.relevance(stage)).alias("relevance"), made(lambda r: matched(r, text), nothing).alias("matched"), made(lambda r: captured(r, text), F.create_map().cast("map<string,string>")).alias("captures"), made(prompt, nothing).alias("prompt"),
+        said(lambda r: r.relevance(stage)).alias("relevance"), *more,
     )
     rank = F.when(F.col("relevance") == "primary", 0).when(F.col("relevance") == "secondary", 1).otherwise(2)
     return hits.withColumn("hit_order", F.row_number().over(W.partitionBy(key).orderBy(rank, "paragraph_index", "rule_order")))

@@ -6,22 +6,27 @@ Ids, families and relevances are fixed; patterns are made from plain lists of wo
 from __future__ import annotations
 
 from docloom.operators.compare import MONTHS, NUMBERS
-from docloom.operators.rules import Rule
+from docloom.operators.rules import Hinted, Rule
 
 
-def words(*phrases: str) -> str:
+def _phrases(phrases: tuple[str, ...], end: str) -> Hinted:
+    said = "|".join(p.replace(" ", chr(92) + "s+") for p in phrases)
+    return Hinted(rf"\b(?:{said}){end}", *(max(p.split(), key=len) for p in phrases))
+
+
+def words(*phrases: str) -> Hinted:
     """A pattern of whole words: one of the phrases."""
-    return rf"\b(?:{'|'.join(p.replace(' ', chr(92) + 's+') for p in phrases)})\b"
+    return _phrases(phrases, r"\b")
 
 
-def begins(*beginnings: str) -> str:
+def begins(*beginnings: str) -> Hinted:
     """A pattern of words that begin so."""
-    return rf"\b(?:{'|'.join(p.replace(' ', chr(92) + 's+') for p in beginnings)})"
+    return _phrases(beginnings, "")
 
 
-def near(first: str, second: str, most: int = 60) -> str:
+def near(first: Hinted, second: str, most: int = 60) -> Hinted:
     """A pattern of one thing and another within so many characters behind it."""
-    return f"{first}.{{0,{most}}}?{second}"
+    return Hinted(f"{first}.{{0,{most}}}?{second}", *first.hints)
 
 
 SUM = r"(?:rs[.]?|inr|rupees|₹)\s*\d(?:[\d,]*\d)?(?:[.]\d+)?(?:\s*/-)?"
@@ -79,24 +84,24 @@ RULES = (
     _rule("money.bond-repayment", "Bonds and repayment", [words("training bond", "training cost", "training costs", "service bond", "repay"), near(begins("reimburs"), words("company", "employer"), 12), near(begins("recover"), words("salary", "final pay", "dues"))], category="bond"),
     _rule("money.discretionary", "Pay at discretion", [begins("discretion"), words("not guaranteed", "no guarantee", "at any time")], all=[words("pay", "bonus", "commission", "incentive", "allowance", "variable")]),
     _rule("money.who-pays", "Who bears which cost", [words("borne by", "stamp duty", "maintenance charges", "own cost", "own expense"), near(words("water", "electricity", "utility", "gas"), begins("bill", "charge"), 4)], category="charges"),
-    _rule("time.term", "How long it lasts", [rf"\ba\s+(?:term|period)\s+of\s+(?<period>{SPAN})", words("commencing on", "commencing from", "commences on", "commences from")]),
-    _rule("time.deadline", "Deadlines", [rf"\b(?:within|(?:no|not) later than)\s+(?<window>{SPAN})", words("on or before", "valid till", "valid until")]),
+    _rule("time.term", "How long it lasts", [Hinted(rf"\ba\s+(?:term|period)\s+of\s+(?<period>{SPAN})", "term", "period"), words("commencing on", "commencing from", "commences on", "commences from")]),
+    _rule("time.deadline", "Deadlines", [Hinted(rf"\b(?:within|(?:no|not) later than)\s+(?<window>{SPAN})", "within", "later"), words("on or before", "valid till", "valid until")]),
     _rule("time.renewal", "Renewal", [begins("renew", "extend", "extension"), words("automatically")], all=[words("term", "lease", "licence", "license", "contract", "agreement")], none=[begins("probation")]),
     _rule("time.probation", "Probation", [begins("probation"), words("confirmation of employment", "confirmation in service")], types=OFFER),
     _rule("time.survival", "What outlives the end", [begins("surviv"), words("indefinitely", "in perpetuity"), near(words("after"), begins("terminat", "expir", "end of"), 5)]),
-    _rule("time.dated", "Dates named", [rf"\b\d{{1,2}}(?:st|nd|rd|th)?(?:\s+day)?(?:\s+of)?\s+(?:{'|'.join(MONTHS)})\p{{L}}*[.]?,?\s+\d{{4}}\b"], category="date"),
+    _rule("time.dated", "Dates named", [Hinted(rf"\b\d{{1,2}}(?:st|nd|rd|th)?(?:\s+day)?(?:\s+of)?\s+(?:{'|'.join(MONTHS)})\p{{L}}*[.]?,?\s+\d{{4}}\b", *MONTHS)], category="date"),
     _rule("duty.non-compete", "Competing work", [begins("non-compet", "non compet", "noncompet", "competing business", "competing work"), near(words("shall not"), words("employed by", "work for a competitor"))]),
     _rule("duty.non-solicit", "Soliciting", [begins("solicit", "non-solicit", "nonsolicit")]),
     _rule("duty.restrictions", "What may not be done", [near(words("tenant", "licensee", "employee", "recipient", "customer", "party", "parties"), words("shall not", "must not", "may not"), 2), words("prior written consent", "prior written approval", "solely for")], category="restriction"),
     _rule("duty.one-sided", "One side decides", [words("sole discretion", "from time to time", "may revise", "may vary", "may amend", "may assign")]),
-    _rule("duty.upkeep", "Repairs and upkeep", [words("repair", "repairs", "wear and tear", "upkeep"), rf"{words('maintenance')}(?!\s+charges)"], all=[words("responsible", "shall", "must", "will")], types=RENTAL),
+    _rule("duty.upkeep", "Repairs and upkeep", [words("repair", "repairs", "wear and tear", "upkeep"), Hinted(rf"{words('maintenance')}(?!\s+charges)", "maintenance")], all=[words("responsible", "shall", "must", "will")], types=RENTAL),
     _rule("duty.hours", "Hours and leave", [words("overtime", "working hours", "sick leave", "annual leave", "casual leave", "earned leave"), near(words("hours"), words("per day", "a day", "per week", "a week"), 2)], types=OFFER),
     _rule("duty.one-way", "Duties of one side only", [begins("unilateral"), words("one-way"), near(words("no"), words("reciprocal obligation", "corresponding obligation"), 2)]),
     _rule("duty.conditions", "Conditions", [near(words("subject to", "conditional on", "conditional upon"), begins("verif", "check", "document")), words("background check", "background verification"), near(begins("submit"), words("documents"), 40)], category="condition"),
-    _rule("exit.notice", "Notice to end it", [rf"(?<period>{SPAN})(?:['’]s?)?\s+(?:(?:prior|advance|written)\s+)*notice\b", rf"\bnotice(?:\s+period)?\s+of\s+(?<period>{SPAN})", words("notice period", "in lieu of notice")], all=[begins("terminat", "resign", "expir", "vacat", "leav", "end", "in lieu")], prompt="Check {clause}: is {period|the notice} the same for both sides?"),
+    _rule("exit.notice", "Notice to end it", [Hinted(rf"(?<period>{SPAN})(?:['’]s?)?\s+(?:(?:prior|advance|written)\s+)*notice\b", "notice"), Hinted(rf"\bnotice(?:\s+period)?\s+of\s+(?<period>{SPAN})", "notice"), words("notice period", "in lieu of notice")], all=[begins("terminat", "resign", "expir", "vacat", "leav", "end", "in lieu")], prompt="Check {clause}: is {period|the notice} the same for both sides?"),
     _rule("exit.notice-service", "How notice is given", [near(begins("notice"), words("in writing"), 20), words("deemed served", "deemed received", "deemed delivered", "registered post")]),
     _rule("exit.termination", "Ending at once", [begins("immediate", "insolven", "misconduct"), words("material breach", "without cause")], all=[begins("terminat")]),
-    _rule("exit.lock-in", "Minimum period", [rf"\block(?:-|\s)?in\b(?:.{{0,40}}?(?<period>{SPAN}))?", words("minimum period", "unexpired period", "unexpired portion")]),
+    _rule("exit.lock-in", "Minimum period", [Hinted(rf"\block(?:-|\s)?in\b(?:.{{0,40}}?(?<period>{SPAN}))?", "lock"), words("minimum period", "unexpired period", "unexpired portion")]),
     _rule("exit.handover", "Handing over", [begins("hand over", "handing over"), words("vacate"), near(begins("return"), words("keys", "assets", "documents", "property"), 12)]),
     _rule("exit.remedies", "Remedies", [begins("indemnif", "forfeit"), words("liquidated damages", "injunctive relief", "penalty of")], category="remedy"),
     _rule("exit.liability", "Limits of liability", [near(words("no", "not"), begins("liab"), 5), near(words("liability"), words("limited to"), 30), near(words("indirect", "consequential"), begins("loss", "damage"), 3)]),

@@ -55,8 +55,8 @@ def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.locate(clauses(spark, sf_dir))
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.evaluate(_located(spark, sf_dir), RULES, STAGE)
+def _hits(spark: SparkSession, sf_dir: str, details: bool = False) -> DataFrame:
+    return rules.evaluate(_located(spark, sf_dir), RULES, STAGE, details=details)
 
 
 def token_stats(spark, sf_dir):
@@ -191,7 +191,7 @@ RULE_HITS_SQL = f"WITH {CLAUSES_SQL}, {_EXPECTED_SQL} SELECT doc_id, paragraph_i
 
 
 def rule_captures(spark, sf_dir):
-    h = _hits(spark, sf_dir)
+    h = _hits(spark, sf_dir, True)
     return h.where("size(captures) > 0").select("doc_id", "paragraph_index", "rule_id", F.explode("captures").alias("name", "value"))
 
 
@@ -203,7 +203,7 @@ UNION ALL SELECT doc_id, paragraph_index, 'time.term', 'period', n || ' months'
 
 
 def rule_prompts(spark, sf_dir):
-    return evidence.review_prompts(_hits(spark, sf_dir)).select("doc_id", "rule_id", "n", "batch", F.size("places").alias("places"), "prompt")
+    return evidence.review_prompts(_hits(spark, sf_dir, True)).select("doc_id", "rule_id", "n", "batch", F.size("places").alias("places"), "prompt")
 
 
 _ORDER = ", ".join(f"('{r.id}', {i})" for i, r in enumerate(RULES) if r.id in {e[1] for e in EXPECTED})
@@ -258,7 +258,7 @@ SELECT doc_id, paragraph_index, CAST(day AS VARCHAR) AS date, CASE k WHEN 0 THEN
 
 def timeline(spark, sf_dir):
     where = _located(spark, sf_dir)
-    return evidence.timeline(where, rules.evaluate(where, RULES, STAGE)).select("doc_id", "n", F.col("date").cast("string").alias("date"), "paragraph_index", F.array_join("topics", "; ").alias("topics"))
+    return evidence.timeline(where, rules.evaluate(where, RULES, STAGE, details=False)).select("doc_id", "n", F.col("date").cast("string").alias("date"), "paragraph_index", F.array_join("topics", "; ").alias("topics"))
 
 
 TIMELINE_SQL = f"""WITH {CLAUSES_SQL}
@@ -268,7 +268,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY day, paragra
 
 def evidence_capped(spark, sf_dir):
     where = _located(spark, sf_dir)
-    found = evidence.evidence(where, rules.evaluate(where, RULES, STAGE), most=3)
+    found = evidence.evidence(where, rules.evaluate(where, RULES, STAGE, details=False), most=3)
     return found.select("doc_id", "field", F.array_join(F.transform("places", lambda p: p.cast("string")), ",").alias("places"))
 
 
@@ -283,7 +283,7 @@ SELECT doc_id, field, string_agg(CAST(paragraph_index AS VARCHAR), ',' ORDER BY
 
 def document_map(spark, sf_dir):
     where = _located(spark, sf_dir)
-    found = evidence.evidence(where, rules.evaluate(where, RULES, STAGE))
+    found = evidence.evidence(where, rules.evaluate(where, RULES, STAGE, details=False))
     return evidence.document_map(where, found).select("doc_id", "field", "status")
 
 

@@ -74,7 +74,7 @@ SELECT doc_id, paragraph_index, rule_id, text, text AS quote FROM t"""
 
 def timeline_days(spark, sf_dir):
     where = clauses(spark, sf_dir).withColumns({"clause": F.lit(None).cast("struct<kind:string,label:string>"), "heading": F.lit(False)})
-    days = evidence.timeline_days(evidence.timeline(where, rules.evaluate(where, (), STAGE)))
+    days = evidence.timeline_days(evidence.timeline(where, rules.evaluate(where, (), STAGE, details=False)))
     return days.select("doc_id", F.col("date").cast("string").alias("date"), "day", F.size("entries").alias("entries"), F.array_join(F.transform("entries", lambda e: e["paragraph_index"].cast("string")), ",").alias("places"))
 
 
@@ -204,7 +204,7 @@ SENTENCES = (
 def rule_sentences(spark, sf_dir):
     """Every rule on a sentence of its own, with an unrelated one between them."""
     said = _dealt(spark, sf_dir, [s for s, _ in SENTENCES] + ["The river is wide and slow."]).withColumns({"paragraph_index": F.lit(1), "heading": F.lit(False), "clause": F.lit(None).cast("struct<kind:string,label:string>")})
-    return rules.evaluate(said, RULES, STAGE).select("doc_id", "rule_id", "relevance")
+    return rules.evaluate(said, RULES, STAGE, details=False).select("doc_id", "rule_id", "relevance")
 
 
 RULE_SENTENCES_SQL = f"""WITH {_values("e", "i, rule_id, relevance", [(i, r, next(x for x in RULES if x.id == r).relevance(STAGE)) for i, (_, fired) in enumerate(SENTENCES) for r in fired.split(",")])}
