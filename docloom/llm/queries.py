@@ -10,6 +10,7 @@ from docloom.llm import (
     attention_quality,
     chat_format,
     license_scan,
+    middle_fill,
     minhash_dedup,
     parse_dedup,
     piece_encode,
@@ -124,6 +125,33 @@ SELECT conv_id, count(*) AS n_turns,
 FROM l GROUP BY conv_id
 """
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle_fill.digests(_table(spark, sf_dir, "documents"))
+
+
+#: Cuts by summed lengths of units instead of lists of them.
+OP13_SQL = """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS x, sha256('1:' || doc_id) AS h,
+    list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]'), lambda w: length(w)) AS sizes
+  FROM documents
+), d AS (
+  SELECT doc_id, x, sizes, len(sizes) AS n, CAST('0x' || h[1:8] AS UBIGINT) AS h1, CAST('0x' || h[9:16] AS UBIGINT) AS h2,
+    CAST('0x' || h[17:24] AS UBIGINT) AS h3, CAST('0x' || h[25:32] AS UBIGINT) AS h4
+  FROM t
+), c AS (
+  SELECT *, CAST(coalesce(list_sum(sizes[1:CAST(least(h1 % (n + 1), h2 % (n + 1)) AS BIGINT)]), 0) AS BIGINT) AS p,
+    CAST(coalesce(list_sum(sizes[1:CAST(greatest(h1 % (n + 1), h2 % (n + 1)) AS BIGINT)]), 0) AS BIGINT) AS q,
+    CASE WHEN x = '' OR x LIKE '%<P>%' OR x LIKE '%<S>%' OR x LIKE '%<M>%' OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || substr(x, 1, p) || '<S>' || substr(x, q + 1) || '<M>' || substr(x, p + 1, q - p)
+    ELSE '<S>' || substr(x, q + 1) || '<P>' || substr(x, 1, p) || '<M>' || substr(x, p + 1, q - p) END) AS output_sha256,
+  sha256(x) AS restored_sha256
+FROM c
+"""
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_threshold_sketch": op2_threshold_sketch,
@@ -135,5 +163,6 @@ QUERIES = {
     "op8_residual_packing": op8_residual_packing,
     "op9_parse_dedup": op9_parse_dedup,
     "op10_prefix_targets": op10_prefix_targets,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLE_SQL = {"op10_prefix_targets": OP10_SQL}
+ORACLE_SQL = {"op10_prefix_targets": OP10_SQL, "op13_fill_in_middle": OP13_SQL}
