@@ -17,6 +17,7 @@ from docloom.llm import (
     piece_encode,
     quality_rules,
     residual_packing,
+    suffix_tree,
     threshold_sketch,
     wrapper_extract,
 )
@@ -126,6 +127,10 @@ SELECT conv_id, count(*) AS n_turns,
 FROM l GROUP BY conv_id
 """
 
+def op11_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(_table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -191,6 +196,7 @@ QUERIES = {
     "op8_residual_packing": op8_residual_packing,
     "op9_parse_dedup": op9_parse_dedup,
     "op10_prefix_targets": op10_prefix_targets,
+    "op11_suffix_tree": op11_suffix_tree,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
