@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import BROADCAST_NUMBERS, Tables, attach, few, slices
-from docloom.llm.rolling import blocks, mixed, prefix, runs
+from docloom.llm.rolling import blocks, mixed
+from docloom.llm.words import hashed, tokens
 
-BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 BANDS, ROWS = 32, 5
 BLOCK = 4096  # rows of a cell's side
 HUB_ROWS = 2048  # texts that a task holds against one hub, about
@@ -61,28 +61,27 @@ def sets_fit(x: np.ndarray, y: np.ndarray, n_x: int, n_y: int, percent: int) ->
 def sets_of(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
     """Of each text the sorted 64-bit hashes of its distinct runs of n words; of its whole sequence where there are fewer.
 
-    Words are the same in bytes as in code points, and only A-Z are lower-cased.
+    Only A-Z are lower-cased.
     """
-    data = [(t or "").encode("utf-8", "replace").lower() for t in texts]
-    for first, last in blocks([len(d) for d in data], 1 << 19):
-        yield from _sets_of_bytes(data[first:last], n)
-
-
-def _sets_of_bytes(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
-    joined = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    blank = np.r_[True, BLANK[joined]]
-    start, end = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
-    word = mixed(runs(prefix(joined), start, end) + (end - start).astype(np.uint64))
-    edge = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))
-    # Runs over all words at once; those that cross from one text to the next are not taken below.
-    run = mixed(word)
-    upto = [run]
-    for k in range(1, min(n, len(word))):
-        run = mixed(run[:-1] * GOLDEN + word[k:])
-        upto.append(run)
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        width = min(n, b - a)
-        yield np.unique(upto[width - 1][a : b - width + 1]) if width else np.zeros(0, np.uint64)
+    for first, last in blocks([len(t or "") for t in texts], 1 << 19):
+        words, sizes = tokens(pa.array(texts[first:last], pa.large_string()))
+        word = hashed(words)
+        edge = np.cumsum([0, *sizes])
+        # Runs over all words at once; those that cross from one text to the next are not taken below.
+        run = mixed(word)
+        upto = [run]
+        for k in range(1, min(n, len(word))):
+            run = mixed(run[:-1] * GOLDEN + word[k:])
+            upto.append(run)
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            width = min(n, b - a)
+            yield np.unique(upto[width - 1][a : b - width + 1]) if width else np.zeros(0, np.uint64)
+
+
+def exact_set(text: str | None, n: int) -> frozenset[tuple[str, ...]]:
+    """The distinct runs of n words themselves; the whole sequence where there are fewer."""
+    words = tokens(pa.array([text], pa.large_string()))[0].to_pylist()
+    return frozenset(zip(*(words[k:] for k in range(min(n, len(words)))), strict=False))
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -176,22 +175,26 @@ def confirmed(pairs: DataFrame, count: int, texts: DataFrame, n: int, percent: i
     met = texts.join(asked, "id").select("hub", "part", "side", "id", "text")
     dealt = few(met.repartition("hub", "part"), 2 * count, 1000).sortWithinPartitions("hub", "part", "side", "id")
 
+    def enough(both: int, x: int, y: int) -> bool:
+        return 100 * both >= percent * (x + y - both)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, {}
         for batch in (part for whole in batches for part in slices(whole)):
             out: list[tuple[int, int]] = []
-            made_of = sets_of(batch.column(4).to_pylist(), n)
-            for hub, part, side, id_, made in zip(*(c.to_pylist() for c in batch.columns[:4]), made_of, strict=True):
+            said = batch.column(4).to_pylist()
+            for hub, part, side, id_, text, made in zip(*(c.to_pylist() for c in batch.columns[:4]), said, sets_of(said, n), strict=True):
                 if (hub, part) != at:
                     at, held = (hub, part), {}
                 if side == 0:
-                    held[made.tobytes()] = made
+                    held.setdefault(made.tobytes(), (made, exact_set(text, n)))
                     continue
-                for other in held.values():
-                    both = len(np.intersect1d(made, other, assume_unique=True))
-                    if 100 * both >= percent * (len(made) + len(other) - both):
-                        out.append((id_, hub))
-                        break
+                for other, words in held.values():
+                    if enough(len(np.intersect1d(made, other, assume_unique=True)), len(made), len(other)):
+                        own = exact_set(text, n)  # hashes may collide, so the words themselves confirm a link
+                        if enough(len(own & words), len(own), len(words)):
+                            out.append((id_, hub))
+                            break
             yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return dealt.mapInArrow(run, "a long, b long")

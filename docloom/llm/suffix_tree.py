@@ -17,7 +17,6 @@ behind it, and the hot contexts' own distributions, summed before, are sent to e
 
 from __future__ import annotations
 
-import hashlib
 import math
 import struct
 from collections.abc import Iterator
@@ -25,13 +24,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.llm.common import Tables
+from docloom.llm.words import tokens, word_hash
 
 #: Tokens of a block of documents, and occurrences that a bucket should hold.
 BLOCK, BUCKET = 2_000_000, 1_500_000
@@ -76,19 +75,6 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
-
-
-def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words of some texts, one after another, and how many each text has."""
-    lowered = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    lists = pc.ascii_split_whitespace(lowered)
-    words, rows = pc.list_flatten(lists), pc.list_parent_indices(lists)
-    there = pc.not_equal(pc.binary_length(words), 0)  # white space at an end leaves an empty word
-    return words.filter(there), np.bincount(rows.filter(there).to_numpy(zero_copy_only=False), minlength=len(texts))
-
-
 BLOCKS = "block long, keys array<{kind}>, docs binary, codes binary, words binary, hot array<struct<a:long,b:long,n:long>>, n_tokens long, n_words long"
 
 

@@ -57,6 +57,29 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch):
         assert [r.kept for r in got] == [i == w for i, w in enumerate(want)]
 
 
+def test_words_that_polynomial_hashes_confuse_stay_apart(spark):
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, f"{word} x y z", f"{other} x y z", word.upper()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.component_id for r in minhash_dedup.link(docs).orderBy("doc_id").collect()] == [0, 1, 2, 3, 0]
+
+
+def test_recall_on_documents(spark):
+    """Every link that all pairs of the smallest table have is found, and no other."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+    for n in (4, 5):
+        want, sizes = brute([r.text for r in rows], n)
+        got = minhash_dedup.link(docs, n=n).orderBy("doc_id").collect()
+        linked = sum(w != i for i, w in enumerate(want))
+        found = sum(g.component_id != g.doc_id for g in got)
+        print(f"{n} words: {found} of {linked} documents linked to an earlier one")
+        assert linked and [g.component_id for g in got] == [rows[w].doc_id for w in want] and [g.n_shingles for g in got] == sizes
+
+
 def test_near_duplicate_edge_cases(spark):
     rows = [(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e")]
     got = minhash_dedup.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
