@@ -16,7 +16,9 @@ def word_hash(word: bytes) -> int:
 
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of some texts, A-Z in lower case, one after another, and how many each text has. Null texts have none."""
-    lowered = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    whole = pc.fill_null(texts.cast(pa.large_string()), "")
+    fresh = pa.concat_arrays([whole, pa.array([""], pa.large_string())])[:-1]  # ascii_lower misreads an array whose text starts inside its buffer
+    lowered = pc.ascii_lower(fresh)
     lists = pc.ascii_split_whitespace(lowered)
     words, rows = pc.list_flatten(lists), pc.list_parent_indices(lists)
     there = pc.not_equal(pc.binary_length(words), 0)  # white space at an end leaves an empty word

@@ -6,11 +6,13 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import suffix_tree
 from docloom.llm.suffix_tree import Tree
+from docloom.llm.words import tokens
 
 
 def trained(doc_id):
@@ -103,6 +105,21 @@ def test_scores_by_brute_force(spark):
     assert sum(r[6] for r in want if r[1]) > sum(r[5] for r in want if r[1])  # better than single words on what was held out
 
 
+def test_words_of_slices():
+    rows = [t for _, t in corpus()]
+    every = pa.array(rows)
+    want = [[w for w in re.split(r"[\x20\x09-\x0D]+", lower(t)) if w] for t in rows]
+    for at, size in ((0, 400), (0, 50), (50, 100), (299, 41), (331, 0)):
+        words, sizes = tokens(every.slice(at, size))
+        assert words.to_pylist() == sum(want[at : at + size], []) and sizes.tolist() == [len(w) for w in want[at : at + size]]
+
+
+def test_all_words_of_many_documents_count(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)  # several slices in a task
+    got = {r.doc_id: r.n_tokens for r in suffix_tree.score(docs).collect()}
+    assert got == {r.doc_id: 1 + len([w for w in re.split(r"[\x20\x09-\x0D]+", r.text or "") if w]) for r in docs.collect()}
+
+
 def test_hot_words_are_spread():
     hot = suffix_tree.Hot({7: 4}, frozenset({(7, 7)}), {})
     import numpy as np
