@@ -33,7 +33,9 @@ from docloom.llm.common import Tables
 from docloom.llm.words import tokens, word_hash
 
 #: Tokens of a block of documents, and occurrences that a bucket should hold.
-BLOCK, BUCKET = 2_000_000, 1_500_000
+BLOCK, BUCKET = 2_000_000, 1_000_000
+#: A word with more occurrences than so many buckets should hold is hot.
+HOT = 2.5
 #: A block names the pairs of words that make up more than this share of it.
 SHARE = 1 / 4096
 
@@ -214,11 +216,22 @@ def dealt(b: np.ndarray, a: np.ndarray, w: np.ndarray, hot: Hot, buckets: int) -
     return (own % np.uint64(buckets)).astype(np.int64)
 
 
-def _read(rows: pa.Table, ids: pa.Table) -> tuple[np.ndarray, ...]:
-    """Lengths and training flags of a block's documents, and of its tokens local code, and of its codes id and training count."""
-    (n, train), (code,) = unpacked(rows["docs"][0].as_py()), unpacked(rows["codes"][0].as_py())
-    table, counts = (np.zeros(rows["n_words"][0].as_py(), np.int64) for _ in range(2))
-    for blob in ids["payload"].to_pylist():
+def _each(made):
+    """made(block) for each row of blocks with their ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from made(batch.slice(k, 1).to_pylist()[0]).to_batches()
+
+    return run
+
+
+def _read(row: dict) -> tuple[np.ndarray, ...]:
+    """Lengths and training flags of a block's documents, local codes of its tokens, and id and training count of its codes."""
+    (n, train), (code,) = unpacked(row["docs"]), unpacked(row["codes"])
+    table, counts = (np.zeros(row["n_words"], np.int64) for _ in range(2))
+    for blob in row["ids"]:
         at, its, c = unpacked(blob)
         table[at], counts[at] = its, c
     return n.astype(np.int64), train, code.astype(np.int64), table, counts
@@ -237,8 +250,8 @@ def _history(n: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, ...]:
 def _hot_counts(hot: Hot):
     """Training counts of the next symbols of hot contexts in a block; a is -1 for a context of one word."""
 
-    def run(rows: pa.Table, ids: pa.Table) -> pa.Table:
-        n, train, code, table, counts = _read(rows, ids)
+    def run(row: dict) -> pa.Table:
+        n, train, code, table, counts = _read(row)
         doc, _, b, a = _history(n, code)
         is_hot = np.append(np.isin(table, list(hot.words)), False)  # the last place is for none
         at = np.flatnonzero(is_hot[b] & (train[doc] > 0))
@@ -258,23 +271,24 @@ EVENTS = "bucket int, kind int, block long, payload binary, keys array<{kind}>"
 
 
 def _events(kind: pa.DataType, hot: Hot, buckets: int, n_train: int, n_kinds: int, tree: Tree):
-    def run(rows: pa.Table, ids: pa.Table) -> pa.Table:
-        block = rows["block"][0].as_py()
-        n, train, code, table, counts = _read(rows, ids)
+    def run(row: dict) -> pa.Table:
+        block = row["block"]
+        n, train, code, table, counts = _read(row)
         doc, _, b, a = _history(n, code)
         root = np.log10((counts + 1) / (n_train + n_kinds + 1))
         deep = (b >= 0) & (counts[b] >= tree.least)  # else the root scores the token
         sums = lambda x: np.bincount(doc, x, minlength=len(n))
         base, alone = sums(root[code]), sums(np.where(deep, 0.0, root[code]))
-        out = [(block % buckets, 2, block, packed(n, train, sums(counts[code] > 0).astype(np.int64), base, alone), rows["keys"][0].as_py())]
+        out = [(block % buckets, 2, block, packed(n, train, sums(counts[code] > 0).astype(np.int64), base, alone), row["keys"])]
         # By number, so that equal occurrences lie together in each bucket and codes grow with them.
         order = np.argsort(table, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
+        often = counts >= tree.least
         table, counts = table[order], counts[order]
         at = np.flatnonzero(deep)
         b, w, doc = rank[b[at]], rank[code[at]], doc[at]
-        a = np.where(a[at] >= 0, rank[a[at]], -1)
+        a = np.where((a[at] >= 0) & (often[a[at]]), rank[a[at]], -1)  # a rarer word makes no state with b
         size = len(table) + 1
         sort = np.lexsort((w * len(n) + doc, b * size + a + 1))
         b, a, w, doc = b[sort], a[sort], w[sort], doc[sort]
@@ -461,7 +475,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", tree: Tree =
     if not held.tokens:
         return spark.createDataFrame([], f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     buckets, word_buckets = -(-held.tokens // bucket), -(-held.words // bucket)
-    limit = held.tokens / buckets if buckets > 1 else held.tokens
+    limit = HOT * held.tokens / buckets if buckets > HOT else held.tokens
     pairs = blocks.select(F.explode("hot").alias("h")).groupBy("h.a", "h.b").agg(F.sum("h.n").alias("n")).where(F.col("n") > limit).select("a", "b").collect()
     asked = frozenset(x for p in pairs for x in p)
     parts = blocks.select("block", "docs", "codes", "words").mapInArrow(_word_parts(word_buckets), "bucket int, block long, payload binary")
@@ -470,16 +484,16 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", tree: Tree =
     named = {r.hash: (r.id, r.n) for r in ids.where("block = -2").select("hash", "id", "n").collect()}
     words = {i: -(-n // bucket) for i, n in named.values() if n > limit}
     hot = Hot(words, frozenset((named[a][0], named[b][0]) for a, b in pairs if named[a][0] in words and named[b][0] in words), {})
-    lines = blocks.select("block", "keys", "docs", "codes", "n_words")
-    answers = ids.where("block >= 0").select("block", "payload")
-    together = lambda run, shape: lines.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, shape)
+    answers = ids.where("block >= 0").groupBy("block").agg(F.collect_list("payload").alias("ids"))  # one for each bucket of words
+    lines = tables.keep("lines", blocks.select("block", "keys", "docs", "codes", "n_words").join(answers, "block"))
+    tables.drop("blocks", "ids")
     more = None
     if hot.words:
-        found = together(_hot_counts(hot), "a long, b long, w long, c long, cw long")
+        found = lines.mapInArrow(_each(_hot_counts(hot)), "a long, b long, w long, c long, cw long")
         counts = tables.keep("hot", found.groupBy("a", "b", "w").agg(F.sum("c").alias("c"), F.first("cw").alias("cw")))
         hot = Hot(words, hot.pairs, _hot_states(counts, seen.n, seen.v, tree))
         more = _distributions(counts.where(F.col("c") >= tree.symbol), hot, buckets, kind)
-    events = together(_events(arrow, hot, buckets, seen.n, seen.v, tree), EVENTS.format(kind=kind))
+    events = lines.mapInArrow(_each(_events(arrow, hot, buckets, seen.n, seen.v, tree)), EVENTS.format(kind=kind))
     events = events if more is None else events.unionByName(more)
     scores = events.groupBy("bucket").applyInArrow(_scores(arrow, hot, seen.n, seen.v, tree), SCORES.format(kind=kind))
     return scores.groupBy("block").applyInArrow(_totals(arrow, key, seen.n), f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
