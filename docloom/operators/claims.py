@@ -90,8 +90,8 @@ def echoes_across(claims: DataFrame, instructions: Sequence[str], n: int = ECHO_
     both neighbours of a border around which half a window of words on each side recites them nearly.
     A response holds at most 8 claims of bounded length, so it is one row here.
     """
-    said = F.array_sort(F.collect_list(F.struct("claim_index", words(F.col("text")).alias("w"))))
-    each = claims.groupBy("response_id").agg(said.alias("c"))
+    parted = claims.select("response_id", "claim_index", words(F.col("text")).alias("w"))
+    each = parted.groupBy("response_id").agg(F.array_sort(F.collect_list(F.struct("claim_index", "w"))).alias("c"))
     spoken = F.flatten(F.transform("c", lambda c: F.transform(c["w"], lambda w: F.struct(w.alias("w"), c["claim_index"].alias("claim")))))
     told = F.array_distinct(F.flatten(F.array(*(runs(F.lit(t), n) for t in instructions)))) if instructions else F.array().cast("array<string>")
 
@@ -103,7 +103,6 @@ def echoes_across(claims: DataFrame, instructions: Sequence[str], n: int = ECHO_
 
     exact = each.select("response_id", F.explode(F.array_distinct(let(spoken, recited))).alias("claim_index"))
     following = F.lead("w").over(W.partitionBy("response_id").orderBy("claim_index"))
-    parted = claims.select("response_id", "claim_index", words(F.col("text")).alias("w"))
     next_index = F.lead("claim_index").over(W.partitionBy("response_id").orderBy("claim_index"))
     half = window // 2
     around = parted.select("response_id", "claim_index", next_index.alias("next"), F.array_join(F.concat(F.slice("w", F.greatest(F.size("w") - half + 1, F.lit(1)), F.lit(half)), F.slice(following, 1, half)), " ").alias("around")).where("next IS NOT NULL")
