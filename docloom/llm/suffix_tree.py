@@ -35,7 +35,9 @@ from docloom.llm.words import tokens, word_hash
 #: Tokens of a block of documents, and occurrences that a bucket should hold.
 BLOCK, BUCKET = 2_000_000, 1_000_000
 #: A word with more occurrences than so many buckets should hold is hot.
-HOT = 2.5
+HOT = 1.2
+#: Sums by bucket and document are rounded to this, far below what a score is read to, so that they pack well.
+GRAIN = 2.0**-26
 #: A block names the pairs of words that make up more than this share of it.
 SHARE = 1 / 4096
 
@@ -328,8 +330,8 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new[:1] = True
     for k in keys:
         new[1:] |= np.diff(k[order]) != 0
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(new) - 1
+    group = np.empty(len(order), np.int32)
+    group[order] = np.cumsum(new, dtype=np.int32) - 1
     return group, order[new]
 
 
@@ -367,19 +369,24 @@ def _scores(kind: pa.DataType, hot: Hot, n_train: int, n_kinds: int, tree: Tree)
         if mine.num_rows:
             parts, blocks = [unpacked(x) for x in mine["payload"].to_pylist()], mine["block"].to_pylist()
             ids = [np.concatenate([[-1], np.cumsum(p[0])]) for p in parts]
+            if max(int(i[-1]) for i in ids) < 1 << 31:
+                ids = [i.astype(np.int32) for i in ids]
             column = lambda k: np.concatenate([i[p[k].astype(np.int64)] for i, p in zip(ids, parts, strict=True)])
             b, a, w = column(2), column(3), column(4)
             cw = np.concatenate([np.append(0, p[1])[p[4].astype(np.int64)] for p in parts])
-            doc2 = [p[5].astype(np.int64) for p in parts]
-            times = np.concatenate([p[6].astype(np.int64) for p in parts])
+            doc2 = [p[5].astype(np.int32) for p in parts]
+            times = np.concatenate([p[6].astype(np.int32) for p in parts])
+            parts = None
             trained = np.concatenate(doc2) & 1
             tri, first = _groups(b, a, w)
+            cw = cw[first]
             c3 = np.bincount(tri, times * trained).astype(np.int64)
             tb, ta, tw = b[first], a[first], w[first]
+            b = a = w = None
             pair, one = _groups(tb, tw)
             c2 = np.bincount(pair, c3).astype(np.int64)
             pb, pw = tb[one], tw[one]
-            root = (cw[first][one] + 1) / (n_train + n_kinds + 1)
+            root = (cw[one] + 1) / (n_train + n_kinds + 1)
 
             def whole(c: np.ndarray, symbols: np.ndarray, at: np.ndarray, context: tuple[int, int]) -> None:
                 """Counts of a hot context's symbols, which lie in several buckets."""
@@ -410,7 +417,7 @@ def _scores(kind: pa.DataType, hot: Hot, n_train: int, n_kinds: int, tree: Tree)
                 total = np.bincount(d >> 1, gain[at : at + len(d)])
                 at += len(d)
                 docs = np.flatnonzero(total)
-                out.append((block, 0, packed(docs.astype(np.uint32), total[docs]), None))
+                out.append((block, 0, packed(docs.astype(np.uint32), np.round(total[docs] / GRAIN) * GRAIN), None))
         columns = list(zip(*out, strict=True)) or [[]] * 4
         return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.list_(kind)), strict=True)], names=["block", "kind", "payload", "keys"])
 
