@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docloom.functions.text import SPACE, let, squeeze
 from docloom.operators import retrieval
 from docloom.operators.claims import MAX_QUOTE, MAX_TEXT, validate
+from docloom.operators.compare import MONTHS
 from docloom.operators.evidence import capped
 
 MAX_QUESTION, MAX_PASSAGES, MAX_CHARS, MAX_EXCERPT = 500, 5, 10_000, 4000
@@ -21,10 +22,17 @@ SURE = 0.6
 CUT = "…"
 SHOWN = "array<struct<confidence:double,text:string,quote:string,source_chunk_ids:array<string>>>"
 SOLID = "[^" + SPACE[1:]
-#: Shortened words whose point ends no sentence; nor does that of a single capital.
-SHORTENED = ("Mr", "Mrs", "Ms", "Dr", "Rs", "Re", "No", "Nos", "Sr", "Jr", "St", "Pvt", "Ltd", "Co", "Inc", "vs", "etc", "viz", "Shri", "Smt", "Prof", "Hon", "Adv", "M/s", "a.m", "p.m", "i.e", "e.g")
+#: Shortened words whose point ends no sentence, by what they shorten; nor does that of a single capital.
+SHORTENED = {
+    "titles": ("Mr", "Mrs", "Ms", "Mx", "Dr", "Prof", "Sri", "Shri", "Smt", "Kum", "Capt", "Col", "Hon"),
+    "firms": ("Bros", "Co", "Corp", "Inc", "Ltd", "Pvt", "M/s"),
+    "places in a text": ("Art", "Cl", "No", "Nos", "Para", "Sch", "Sec", "Vol", "pp"),
+    "Latin": ("cf", "e.g", "etc", "i.e", "viz", "vs"),
+    "sums and times": ("Rs", "approx", "a.m", "p.m"),
+    "months": tuple(m.title() for m in MONTHS if m != "may"),
+}
 _CLOSING = "[\"”')\\]]{0,8}"
-_POINTED = "|".join(w.replace(".", "[.]") for w in SHORTENED)
+_POINTED = "|".join(w.replace(".", "[.]") for ws in SHORTENED.values() for w in ws)
 #: The places between two sentences: behind an end mark, its closing signs and white space, before any other sign.
 BETWEEN = f"(?<=[.!?।]{_CLOSING}{SPACE}{{1,32}})(?={SOLID})(?<!(?:^|{SPACE}|[(])(?:{_POINTED}|[A-Z])[.]{_CLOSING}{SPACE}{{1,32}})"
 
@@ -59,23 +67,27 @@ def sentence_at(text: Column, at: Column) -> Column:
 
 
 def window_around(text: Column, bounds: Column, focus: Column, most: int) -> Column:
-    """bounds, or a span of at most so many code points in them around the focus, without words cut in half. The focus is always in it, whole."""
-    spare = F.greatest(F.lit(most) - (focus["end"] - focus["start"]), F.lit(0))
-    first = F.greatest(bounds["start"], focus["start"] - F.floor(spare / 2).cast("int"))
-
-    def whole(w: Column) -> Column:
-        """The ends moved inward over the word that each of them cuts."""
-        left = F.regexp_extract(F.substring(text, w["start"], F.greatest(focus["start"] - w["start"], F.lit(0))), f"^{SOLID}*", 0)
-        right = F.regexp_extract(F.substring(text, focus["end"] + 2, F.greatest(w["end"] - focus["end"], F.lit(0))), f"{SOLID}*\\z", 0)
-        start = F.when(w["start"] > bounds["start"], w["start"] + F.length(left)).otherwise(w["start"])
-        end = F.when(w["end"] < bounds["end"], w["end"] - F.length(right)).otherwise(w["end"])
-        return span(F.least(start, focus["start"]), F.greatest(end, focus["end"]))
-
-    def placed(last: Column) -> Column:
-        return whole(span(F.greatest(bounds["start"], last - most), last))
-
-    wide = bounds["end"] - bounds["start"] > most
-    return F.when(wide, let(F.least(bounds["end"], first + most), placed)).otherwise(bounds)
+    """bounds, or a span of at most so many code points in them around the focus, without words cut in half. The focus is always in it, whole.
+
+    What the focus leaves of most is shared out to both sides, half each; what one side has no text
+    for goes to the other.
+    """
+    before = F.substring(text, bounds["start"] + 1, F.greatest(focus["start"] - bounds["start"], F.lit(0)))
+    behind = F.substring(text, focus["end"] + 1, F.greatest(bounds["end"] - focus["end"], F.lit(0)))
+
+    def shared(sides: Column) -> Column:
+        one, two = sides["one"], sides["two"]
+        room = F.greatest(F.lit(most) - (focus["end"] - focus["start"]), F.lit(0))
+        left = F.least(F.length(one), F.greatest(F.floor(room / 2).cast("int"), room - F.length(two)))
+        right = F.least(F.length(two), room - left)
+        # With one sign more than is given, a word that an end cuts shows as one that goes on.
+        torn = F.length(F.regexp_extract(F.substring(one, F.length(one) - left, left + 1), f"^{SOLID}*", 0))
+        split = F.length(F.regexp_extract(F.substring(two, F.lit(1), right + 1), f"{SOLID}*\\z", 0))
+        left = F.when(left < F.length(one), F.greatest(left - torn, F.lit(0))).otherwise(left)
+        right = F.when(right < F.length(two), F.greatest(right - split, F.lit(0))).otherwise(right)
+        return span(focus["start"] - left, focus["end"] + right)
+
+    return let(F.struct(before.alias("one"), behind.alias("two")), shared)
 
 
 def excerpt(text: Column, focus: Column, most: int = MAX_EXCERPT) -> Column:

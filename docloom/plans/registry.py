@@ -5,7 +5,7 @@ Ids, families and relevances are fixed; patterns are made from plain lists of wo
 
 from __future__ import annotations
 
-from docloom.operators.compare import MONTHS, NUMBERS
+from docloom.operators.compare import MONTHS, NUMBERS, ROLES
 from docloom.operators.rules import Hinted, Rule
 
 
@@ -84,7 +84,7 @@ RULES = (
     _rule("money.bond-repayment", "Bonds and repayment", [words("training bond", "training cost", "training costs", "service bond", "repay"), near(begins("reimburs"), words("company", "employer"), 12), near(begins("recover"), words("salary", "final pay", "dues"))], category="bond"),
     _rule("money.discretionary", "Pay at discretion", [begins("discretion"), words("not guaranteed", "no guarantee", "at any time")], all=[words("pay", "bonus", "commission", "incentive", "allowance", "variable")]),
     _rule("money.who-pays", "Who bears which cost", [words("borne by", "stamp duty", "maintenance charges", "own cost", "own expense"), near(words("water", "electricity", "utility", "gas"), begins("bill", "charge"), 4)], category="charges"),
-    _rule("time.term", "How long it lasts", [Hinted(rf"\ba\s+(?:term|period)\s+of\s+(?<period>{SPAN})", "term", "period"), words("commencing on", "commencing from", "commences on", "commences from")]),
+    _rule("time.term", "How long it lasts", [near(words("term", "period", "tenure", "duration"), rf"(?<period>{SPAN})", 12), near(begins("commenc", "starts", "begins"), words("on", "from"), 2)], none=[words("notice", "probation")]),
     _rule("time.deadline", "Deadlines", [Hinted(rf"\b(?:within|(?:no|not) later than)\s+(?<window>{SPAN})", "within", "later"), words("on or before", "valid till", "valid until")]),
     _rule("time.renewal", "Renewal", [begins("renew", "extend", "extension"), words("automatically")], all=[words("term", "lease", "licence", "license", "contract", "agreement")], none=[begins("probation")]),
     _rule("time.probation", "Probation", [begins("probation"), words("confirmation of employment", "confirmation in service")], types=OFFER),
@@ -98,7 +98,7 @@ RULES = (
     _rule("duty.hours", "Hours and leave", [words("overtime", "working hours", "sick leave", "annual leave", "casual leave", "earned leave"), near(words("hours"), words("per day", "a day", "per week", "a week"), 2)], types=OFFER),
     _rule("duty.one-way", "Duties of one side only", [begins("unilateral"), words("one-way"), near(words("no"), words("reciprocal obligation", "corresponding obligation"), 2)]),
     _rule("duty.conditions", "Conditions", [near(words("subject to", "conditional on", "conditional upon"), begins("verif", "check", "document")), words("background check", "background verification"), near(begins("submit"), words("documents"), 40)], category="condition"),
-    _rule("exit.notice", "Notice to end it", [Hinted(rf"(?<period>{SPAN})(?:['’]s?)?\s+(?:(?:prior|advance|written)\s+)*notice\b", "notice"), Hinted(rf"\bnotice(?:\s+period)?\s+of\s+(?<period>{SPAN})", "notice"), words("notice period", "in lieu of notice")], all=[begins("terminat", "resign", "expir", "vacat", "leav", "end", "in lieu")], prompt="Check {clause}: is {period|the notice} the same for both sides?"),
+    _rule("exit.notice", "Notice to end it", [Hinted(rf"(?<period>{SPAN})\W+(?:\w+\W+){{0,3}}?notice\b", "notice"), near(words("notice"), rf"(?<period>{SPAN})", 20), words("notice period", "pay instead of notice")], all=[begins("terminat", "resign", "quit", "vacat", "leav", "expir", "end")], prompt="Check {clause}: is {period|the notice} the same for both sides?"),
     _rule("exit.notice-service", "How notice is given", [near(begins("notice"), words("in writing"), 20), words("deemed served", "deemed received", "deemed delivered", "registered post")]),
     _rule("exit.termination", "Ending at once", [begins("immediate", "insolven", "misconduct"), words("material breach", "without cause")], all=[begins("terminat")]),
     _rule("exit.lock-in", "Minimum period", [Hinted(rf"\block(?:-|\s)?in\b(?:.{{0,40}}?(?<period>{SPAN}))?", "lock"), words("minimum period", "unexpired period", "unexpired portion")]),
@@ -134,28 +134,33 @@ LANGUAGE = {
     "alarm": [r"\b(?:dangerous|outrageous|predatory|scam)\b"],
     "reassurance": [r"\b(?:perfectly safe|nothing to worry|completely fair)\b"],
 }
-#: What a reader is asked to do, and what a document leaves open: patterns of the review register, by kind.
-_REQUESTS = ("ask", "check", "compare", "confirm", "clarify", "consider", "count", "decide", "find out", "get", "keep", "look", "make sure", "note", "raise", "read", "request", "verify", "work out")
-_PAPERS = ("it", "this", "agreement", "clause", "contract", "document", "letter", "offer", "policy", "schedule")
-_TELLS = ("cover", "define", "explain", "fix", "give", "list", "mention", "name", "say", "set out", "specify", "state")
+#: How a statement puts something to the reader instead of telling them what holds: by asking, by an
+#: invitation to look or to speak, by what would help, or by what the document leaves out.
+_LOOKING = ("check", "compare", "look", "inspect", "measure", "read", "review", "see whether", "weigh", "work through", "add up")
+_SPEAKING = ("agree", "ask", "discuss", "get it in writing", "negotiate", "query", "request", "talk to", "write to")
+_LEADS = ("please", "perhaps", "maybe", "first", "next", "then", "before you sign", "do")
+_INVITED = words(*_LOOKING, *_SPEAKING)
+_DOCUMENTS = ("agreement", "annexure", "clause", "contract", "deed", "document", "draft", "lease", "letter", "paragraph", "wording")
+_SAID = ("address", "answer", "deal with", "describe", "mention", "record", "say", "show", "specify", "spell out", "tell")
 REVIEW_REGISTER = (
     "[?]",
-    rf"(?:^|[.!?;:,]\s*)(?:(?:also|first|now|please|so|then)[,\s]+)*{words(*_REQUESTS)}(?!\s+you\s+to\b)",
-    rf"\b(?:you|the reader)\s+(?:can|could|may|might|need to|will want to|may want to|might want to)\s+{words(*_REQUESTS)}",
-    words(*(f"worth {w}" for w in ("a check", "a look", "asking", "checking", "comparing", "confirming", "knowing", "noting", "raising", "reading"))),
-    words("it helps to", "it is useful to", "the question is"),
-    near(words(*_PAPERS), near(words("does not", "doesn't", "never", "nowhere"), words(*_TELLS), 2), 2),
-    words("is silent on", "says nothing about", "no mention of", *(f"{a} {b}" for a in ("unclear", "not clear") for b in ("how", "what", "when", "whether", "which", "who"))),
+    rf"(?:^|[.;:!]\s*|,\s*)(?:(?:{'|'.join(w.replace(' ', chr(92) + 's+') for w in _LEADS)}),?\s+)?{_INVITED}",
+    rf"\b(?:you|readers|a reader|the reader|whoever signs)\s+(?:can|could|may|might)\s+(?:(?:want|wish|like|need)\s+to\s+|also\s+)*{_INVITED}",
+    rf"\bworth\s+(?:a\s+|an\s+)?(?:\w+ing|look|question|second reading)\b",
+    rf"\b(?:helps|useful|sensible|wise|prudent)\s+to\s+{_INVITED}",
+    near(words(*_DOCUMENTS), near(words("does not", "doesn't", "do not", "fails to", "nowhere"), words(*_SAID), 3), 3),
+    words("silent on", "silent about", "leaves open", "left open", "not settled", "without saying", *(f"{a} {b}" for a in ("unclear", "uncertain", "open") for b in ("whether", "who", "when", "how"))),
 )
-_SIDES = ("one", "other", "first", "second", "third")
-#: Party cues with their weights; the first of equal weights counts.
+#: Party cues with their weights; the first of equal weights counts. A quoted term in brackets counts where it is a role.
+TITLES = ("mr", "mrs", "ms", "mx", "dr", "prof", "sri", "shri", "smt", "kum", "capt", "col")
+_ROLE = "|".join(sorted(ROLES | {"party", "firm", "society", "bank"}))
 PARTY_CUES = (
-    (3, words("hereinafter called", "hereinafter referred to as")),
-    (3, words(*(f"of the {side} part" for side in _SIDES))),
-    (3, r"[(]\s*(?:the\s+)?[\"“”][^\"“”()]{1,40}[\"“”]\s*[)]"),
-    (2, near(words("made", "executed", "entered into"), words("between"))),
-    (1, r"^(?:" + "|".join(("mr", "ms", "mrs", "miss", "dr", "shri", "smt", "kumari", "m/s", "messrs")) + r")[.]?\s+\p{L}[^.!?]{2,160}\z"),
-    (1, r"^I,\s[^,]{2,60},\s+(?:" + "|".join(("accept", "agree", "confirm", "have read".replace(" ", r"\s+"))) + r")\b"),
+    (3, near(words("hereinafter", "hereafter", "in this deed"), words("called", "known as", "referred to", "named"), 30)),
+    (3, rf"\bof\s+the\s+(?:first|second|third|fourth|one|other)\s+part\b"),
+    (3, rf"[(]\s*(?:the\s+)?[\"“”](?:[^\"“”()]{{0,20}}\s)?(?:{_ROLE})s?[\"“”]\s*[)]"),
+    (2, near(begins("enter", "execut", "conclud", "made"), words("between"))),
+    (1, rf"^(?:{'|'.join(TITLES)})[.]?\s+\p{{L}}[\p{{L}}.'’ -]*(?:,|\s+(?:of|son|daughter|wife|residing|aged)\b|\z)"),
+    (1, r"^I,\s+[\p{L}.'’ -]+,"),
 )
 #: Headings after which a party is named.
 PARTY_HEADINGS = ("between", "and", "by and between", "among", "parties")
