@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,8 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from docloom.functions.text import let, match_form, pattern
+from docloom.functions.text import let, match_form, nfkc, pattern
 from docloom.plans.registry import LANGUAGE, REVIEW_REGISTER
+from docloom.sources.shared import kept
 
 MAX_CLAIMS, MAX_TEXT, MAX_QUOTE, MAX_CITED, MIN_QUOTE_WORDS = 8, 400, 300, 3, 3
 ECHO_WORDS, ECHO_WINDOW, ECHO_STEP, ECHO_SHARE, ECHO_SLACK = 8, 16, 4, 0.7, 1.5
@@ -31,7 +32,10 @@ def parse(outputs: DataFrame, text: str = "output") -> tuple[DataFrame, DataFram
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(match_form(text), r"[^\p{L}\p{N}']+"), lambda w: w != "")
+    """Runs of letters, digits and apostrophes in match form."""
+    form = F.translate(F.lower(nfkc(text)), "\u2018\u2019\u201a\u201b\u02bc", "'''''")
+    form = F.when(form.rlike(r"[^\x00-\x7F]"), F.regexp_replace(form, r"[\u200B-\u200D\u2060\uFEFF\u00AD]", "")).otherwise(form)
+    return F.filter(F.split(form, r"[^\p{L}\p{N}']+"), lambda w: w != "")
 
 
 def runs(text: Column, n: int = ECHO_WORDS) -> Column:
@@ -44,11 +48,66 @@ def runs(text: Column, n: int = ECHO_WORDS) -> Column:
     return let(words(text), made)
 
 
-def echoes(rows: DataFrame, against: DataFrame, key: str, other: str, n: int = ECHO_WORDS) -> DataFrame:
-    """key, other, shared: texts that share runs of n words; other rows that share none with a text are not met."""
-    a = rows.select(key, F.explode(runs(F.col("text"), n)).alias("run"))
-    b = against.select(other, F.explode(runs(F.col("text"), n)).alias("run"))
-    return a.join(b, "run").groupBy(key, other).agg(F.count("*").alias("shared"))
+def run_hashes(w: Column, n: int = ECHO_WORDS) -> Column:
+    """A 64-bit hash for each run of n words, in order: runs of 1, 2, 4, ... words joined two by two."""
+
+    def joined(made: Column, shift: int) -> Column:
+        width = F.greatest(F.size(made) - shift, F.lit(0))
+        return F.zip_with(F.slice(made, F.lit(1), width), F.slice(made, F.lit(shift + 1), width), lambda x, y: F.xxhash64(x, y))
+
+    def grown(made: Column, length: int) -> Column:
+        step = min(length, n - length)
+        return made if length == n else let(joined(made, step), lambda m: grown(m, length + step))
+
+    return let(F.transform(w, lambda x: F.xxhash64(x)), lambda m: grown(m, 1))
+
+
+#: Bits of the filter over the smaller side's runs, and runs up to which it is made and that side is sent to all tasks.
+FILTER_BITS, FEW_RUNS = 1 << 20, 100_000
+
+
+def _filtered(hashes: DataFrame) -> Callable[[Column], Column]:
+    """A test whether a hash may be one of those in h. Two bits of each are set; the bits are summed up on Spark and come back as FILTER_BITS / 64 numbers at most."""
+    places = [F.pmod(F.shiftrightunsigned("h", k), F.lit(FILTER_BITS)) for k in (0, 32)]
+    bits = hashes.select(F.explode(F.array(*places)).alias("b")).groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("w")).collect()
+    table = {r["at"]: r["w"] for r in bits}
+    numbers = F.expr(f"array({', '.join('CAST(-9223372036854775808 AS BIGINT)' if (v := table.get(i, 0)) == -(2**63) else f'{v}L' for i in range(FILTER_BITS // 64))})")
+
+    def may(h: Column) -> Column:
+        bit = lambda k: F.pmod(F.shiftrightunsigned(h, k), F.lit(FILTER_BITS))
+        found = lambda b: F.getbit(F.get(numbers, F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1
+        return found(bit(0)) & found(bit(32))
+
+    return may
+
+
+def echoes(rows: DataFrame, against: DataFrame, key: str, other: str, n: int = ECHO_WORDS, few: int = FEW_RUNS) -> DataFrame:
+    """key, other, shared: texts that share runs of n words, and how many distinct ones; texts that share none are not met.
+
+    against is the smaller side. Runs of rows are hashes until a filter over against's runs lets them
+    pass; only then their words are put together and compared. Where against has more than few runs
+    there is no filter, and hashes, not words, are joined by a shuffle before words are compared.
+    Several texts of one key count together; rows of a null key are left out.
+    """
+    mine = against.where(F.col(other).isNotNull()).select(other, words(F.col("text")).alias("w")).select(other, "w", run_hashes(F.col("w"), n).alias("hs"))
+    piece = lambda i: F.array_join(F.slice("w", i + 1, n), " ")
+    told = mine.select(other, "w", F.posexplode("hs").alias("i", "h")).select(other, "h", piece(F.col("i")).alias("run")).distinct()
+    told = kept(told.groupBy("h", "run").agg(F.collect_list(other).alias("_others")))
+    count = told.count()
+    texts = rows.where(F.col(key).isNotNull()).select(F.col(key), words(F.col("text")).alias("w")).select(key, "w", run_hashes(F.col("w"), n).alias("hs"))
+    if count <= few:
+        may = _filtered(told)
+        spots = F.filter(F.transform("hs", lambda h, i: F.when(may(h), i)), lambda i: i.isNotNull())
+        said = texts.select(key, "w", "hs", F.explode(spots).alias("i")).select(key, F.get("hs", F.col("i")).alias("h"), piece(F.col("i")).alias("run"))
+        met = said.join(F.broadcast(told), ["h", "run"])
+    else:
+        hashes = texts.select(key, F.explode(F.array_distinct("hs")).alias("h")).join(told.select("h").distinct(), "h", "left_semi")
+        near = hashes.groupBy(key).agg(F.collect_set("h").alias("_near"))  # no more than a text's own runs
+        back = texts.join(near, key)
+        spots = F.filter(F.transform("hs", lambda h, i: F.when(F.array_contains("_near", h), i)), lambda i: i.isNotNull())
+        said = back.select(key, "w", "hs", F.explode(spots).alias("i")).select(key, F.get("hs", F.col("i")).alias("h"), piece(F.col("i")).alias("run"))
+        met = said.join(told, ["h", "run"])
+    return met.select(key, "run", F.explode("_others").alias(other)).distinct().groupBy(key, other).agg(F.count("*").alias("shared"))
 
 
 def near_echo(instructions: Sequence[str]):
@@ -158,7 +217,10 @@ def validate(claims: DataFrame, chunks: DataFrame, instructions: Sequence[str] =
     for ps in language.values():
         for p in ps:
             wrong = wrong | said.rlike(pattern(p))
-    told = near_echo(instructions)(F.col("text")) if instructions else F.lit(False)
+    told = F.lit(False)
+    if instructions:
+        recited = F.array_distinct(F.flatten(F.array(*(runs(F.lit(t)) for t in instructions))))
+        told = F.arrays_overlap(runs(F.coalesce(F.col("text"), F.lit(""))), recited) | near_echo(instructions)(F.col("text"))
     reason = F.when(F.col("_unknown"), REASONS[0]).when(quoted < MIN_QUOTE_WORDS, REASONS[1]).when(~F.col("_found"), REASONS[2]).when(told, REASONS[3]).when(wrong, REASONS[4])
     return rows.withColumn("reason", reason).withColumn("supporting", F.transform("_ids", lambda x: x["chunk_id"])).drop("_unknown", "_found", "_ids")
 
