@@ -32,8 +32,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from docloom.llm.common import Tables
 from docloom.llm.words import tokens, word_hash
 
-#: Tokens of a block of documents, and occurrences that a bucket should hold.
-BLOCK, BUCKET = 2_000_000, 1_000_000
+#: Tokens of a block of documents, occurrences that a bucket should hold, and buckets that a task goes through one after another.
+BLOCK, BUCKET, TURNS = 1_000_000, 800_000, 5
 #: A word with more occurrences than so many buckets should hold is hot.
 HOT = 1.2
 #: Sums by bucket and document are rounded to this, far below what a score is read to, so that they pack well.
@@ -236,14 +236,14 @@ def _read(row: dict) -> tuple[np.ndarray, ...]:
     for blob in row["ids"]:
         at, its, c = unpacked(blob)
         table[at], counts[at] = its, c
-    return n.astype(np.int64), train, code.astype(np.int64), table, counts
+    return n.astype(np.int64), train, code.astype(np.int32), table, counts
 
 
 def _history(n: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, ...]:
     """Document, place in it, and the one and two codes before (-1: none) of each token."""
-    doc = np.repeat(np.arange(len(n)), n)
+    doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
     place = np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)
-    b, a = np.full(len(code), -1), np.full(len(code), -1)
+    b, a = np.full(len(code), -1, np.int32), np.full(len(code), -1, np.int32)
     b[1:], a[2:] = code[:-1], code[:-2]
     b[place < 1], a[place < 2] = -1, -1
     return doc, place, b, a
@@ -281,10 +281,10 @@ def _events(kind: pa.DataType, hot: Hot, buckets: int, n_train: int, n_kinds: in
         deep = (b >= 0) & (counts[b] >= tree.least)  # else the root scores the token
         sums = lambda x: np.bincount(doc, x, minlength=len(n))
         base, alone = sums(root[code]), sums(np.where(deep, 0.0, root[code]))
-        out = [(block % buckets, 2, block, packed(n, train, sums(counts[code] > 0).astype(np.int64), base, alone), row["keys"])]
+        out = [(block % -(-buckets // TURNS), 2, block, packed(n, train, sums(counts[code] > 0).astype(np.int64), base, alone), row["keys"])]
         # By number, so that equal occurrences lie together in each bucket and codes grow with them.
         order = np.argsort(table, kind="stable")
-        rank = np.empty(len(order), np.int64)
+        rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
         often = counts >= tree.least
         table, counts = table[order], counts[order]
@@ -292,7 +292,7 @@ def _events(kind: pa.DataType, hot: Hot, buckets: int, n_train: int, n_kinds: in
         b, w, doc = rank[b[at]], rank[code[at]], doc[at]
         a = np.where((a[at] >= 0) & (often[a[at]]), rank[a[at]], -1)  # a rarer word makes no state with b
         size = len(table) + 1
-        sort = np.lexsort((w * len(n) + doc, b * size + a + 1))
+        sort = np.lexsort((w.astype(np.int64) * len(n) + doc, b.astype(np.int64) * size + a + 1))
         b, a, w, doc = b[sort], a[sort], w[sort], doc[sort]
         new = np.ones(len(b), bool)
         new[1:] = (np.diff(b) != 0) | (np.diff(a) != 0) | (np.diff(w) != 0) | (np.diff(doc) != 0)
@@ -301,17 +301,20 @@ def _events(kind: pa.DataType, hot: Hot, buckets: int, n_train: int, n_kinds: in
         b, a, w, doc = b[first], a[first], w[first], doc[first]
         bucket = dealt(table[b], np.where(a >= 0, table[a], -1), table[w], hot, buckets)
         to = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[to], np.arange(buckets + 1))
+        bucket = bucket[to]
         place = np.zeros(size, np.int64)
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            p = to[cuts[k] : cuts[k + 1]]
+        for k in range(-(-buckets // TURNS)):
+            cuts = np.searchsorted(bucket, np.arange(k * TURNS, (k + 1) * TURNS + 1))
+            p = to[cuts[0] : cuts[-1]]
+            if not len(p):
+                continue
             there = np.zeros(size, bool)
             there[b[p]] = there[w[p]] = there[a[p]] = True  # -1, for none, is the last place
             there[-1] = False
             used = np.flatnonzero(there)
             place[used] = np.arange(1, len(used) + 1)
             u = lambda x: x.astype(np.uint32)
-            out.append((k, 0, block, packed(np.diff(table[used], prepend=0), counts[used], u(place[b[p]]), u(np.where(a[p] >= 0, place[a[p]], 0)), u(place[w[p]]), u(2 * doc[p] + train[doc[p]]), u(times[p])), None))
+            out.append((k, 0, block, packed(np.diff(table[used], prepend=0), counts[used], u(place[b[p]]), u(np.where(a[p] >= 0, place[a[p]], 0)), u(place[w[p]]), u(2 * doc[p] + train[doc[p]]), u(times[p]), cuts - cuts[0]), None))
         return _event_table(out, kind)
 
     return run
@@ -355,8 +358,56 @@ def _states(group: np.ndarray, c: np.ndarray, parent: np.ndarray, tree: Tree, fi
 SCORES = "block long, kind int, payload binary, keys array<{kind}>"
 
 
+def _bucket_gains(parts: list[list[np.ndarray]], turn: int, known: dict, hot: Hot, n_train: int, n_kinds: int, tree: Tree) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Builds the subtrees of one bucket's contexts; for each part the documents of its occurrences and what these add to their scores."""
+    cut = [slice(int(p[7][turn]), int(p[7][turn + 1])) for p in parts]
+    ids = [np.concatenate([[-1], np.cumsum(p[0])]) for p in parts]
+    if max(int(i[-1]) for i in ids) < 1 << 31:
+        ids = [i.astype(np.int32) for i in ids]
+    column = lambda k: np.concatenate([i[p[k][c]] for i, p, c in zip(ids, parts, cut, strict=True)])
+    b, a, w = column(2), column(3), column(4)
+    docs = [p[5][c].astype(np.int32) for p, c in zip(parts, cut, strict=True)]
+    if not len(b):
+        return [(d, np.zeros(0)) for d in docs]
+    cw = np.concatenate([p[1][p[4][c].astype(np.int64) - 1] for p, c in zip(parts, cut, strict=True)])
+    times = np.concatenate([p[6][c].astype(np.int32) for p, c in zip(parts, cut, strict=True)])
+    tri, first = _groups(b, a, w)
+    cw, tb, ta, tw = cw[first], b[first], a[first], w[first]
+    c3 = np.bincount(tri, times * (np.concatenate(docs) & 1)).astype(np.int64)
+    b = a = w = None
+    pair, one = _groups(tb, tw)
+    c2 = np.bincount(pair, c3).astype(np.int64)
+    pb, pw = tb[one], tw[one]
+    root = (cw[one] + 1) / (n_train + n_kinds + 1)
+
+    def whole(c: np.ndarray, symbols: np.ndarray, at: np.ndarray, context: tuple[int, int]) -> None:
+        """Counts of a hot context's symbols, which lie in several buckets."""
+        its, count = known.get(context, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        there = np.isin(symbols[at], its)
+        c[at] = 0
+        c[at[there]] = count[np.searchsorted(its, symbols[at[there]])]
+
+    word, w1 = _groups(pb)
+    fixed = {}
+    for k in np.flatnonzero(np.isin(pb[w1], list(hot.words))).tolist():
+        x = int(pb[w1[k]])
+        fixed[k] = hot.states[-1, x]
+        whole(c2, pw, np.flatnonzero(word == k), (-1, x))
+    p1, stays1 = _states(word, c2, root, tree, fixed, np.ones(len(w1), bool))
+    p1 = np.where(stays1[word], p1, root)
+    two, t1 = _groups(tb, ta)
+    fixed = {}
+    for k in np.flatnonzero(_hot_pairs(ta[t1], tb[t1], hot)).tolist():
+        x = int(ta[t1[k]]), int(tb[t1[k]])
+        fixed[k] = hot.states[x]
+        whole(c3, tw, np.flatnonzero(two == k), x)
+    p2, stays2 = _states(two, c3, p1[pair], tree, fixed, (ta[t1] >= 0) & stays1[word][pair][t1])
+    gain = times * np.log10(np.where(stays2[two], p2, p1[pair]))[tri]
+    return [(d >> 1, g) for d, g in zip(docs, np.split(gain, np.cumsum([len(d) for d in docs])[:-1]), strict=True)]
+
+
 def _scores(kind: pa.DataType, hot: Hot, n_train: int, n_kinds: int, tree: Tree):
-    """Builds the subtrees of a bucket's contexts and sums what its occurrences add to each document's score."""
+    """Goes through a task's buckets in turn, and sums what their occurrences add to each document's score."""
 
     def run(rows: pa.Table) -> pa.Table:
         kinds = rows["kind"].to_numpy()
@@ -368,54 +419,11 @@ def _scores(kind: pa.DataType, hot: Hot, n_train: int, n_kinds: int, tree: Tree)
         mine = rows.filter(pa.array(kinds == 0))
         if mine.num_rows:
             parts, blocks = [unpacked(x) for x in mine["payload"].to_pylist()], mine["block"].to_pylist()
-            ids = [np.concatenate([[-1], np.cumsum(p[0])]) for p in parts]
-            if max(int(i[-1]) for i in ids) < 1 << 31:
-                ids = [i.astype(np.int32) for i in ids]
-            column = lambda k: np.concatenate([i[p[k].astype(np.int64)] for i, p in zip(ids, parts, strict=True)])
-            b, a, w = column(2), column(3), column(4)
-            cw = np.concatenate([np.append(0, p[1])[p[4].astype(np.int64)] for p in parts])
-            doc2 = [p[5].astype(np.int32) for p in parts]
-            times = np.concatenate([p[6].astype(np.int32) for p in parts])
-            parts = None
-            trained = np.concatenate(doc2) & 1
-            tri, first = _groups(b, a, w)
-            cw = cw[first]
-            c3 = np.bincount(tri, times * trained).astype(np.int64)
-            tb, ta, tw = b[first], a[first], w[first]
-            b = a = w = None
-            pair, one = _groups(tb, tw)
-            c2 = np.bincount(pair, c3).astype(np.int64)
-            pb, pw = tb[one], tw[one]
-            root = (cw[one] + 1) / (n_train + n_kinds + 1)
-
-            def whole(c: np.ndarray, symbols: np.ndarray, at: np.ndarray, context: tuple[int, int]) -> None:
-                """Counts of a hot context's symbols, which lie in several buckets."""
-                its, count = known.get(context, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-                there = np.isin(symbols[at], its)
-                c[at] = 0
-                c[at[there]] = count[np.searchsorted(its, symbols[at[there]])]
-
-            word, w1 = _groups(pb)
-            fixed = {}
-            for k, x in enumerate(pb[w1].tolist()):
-                if x in hot.words:
-                    fixed[k] = hot.states[-1, x]
-                    whole(c2, pw, np.flatnonzero(word == k), (-1, x))
-            p1, stays1 = _states(word, c2, root, tree, fixed, np.ones(len(w1), bool))
-            p1 = np.where(stays1[word], p1, root)
-            two, t1 = _groups(tb, ta)
-            fixed = {}
-            for k, x in enumerate(zip(ta[t1].tolist(), tb[t1].tolist(), strict=True)):
-                if x in hot.pairs:
-                    fixed[k] = hot.states[x]
-                    whole(c3, tw, np.flatnonzero(two == k), x)
-            p2, stays2 = _states(two, c3, p1[pair], tree, fixed, (ta[t1] >= 0) & stays1[word][pair][t1])
-            p2 = np.where(stays2[two], p2, p1[pair])
-            gain = times * np.log10(p2)[tri]
-            at = 0
-            for block, d in zip(blocks, doc2, strict=True):
-                total = np.bincount(d >> 1, gain[at : at + len(d)])
-                at += len(d)
+            sums = [np.zeros(int(p[5].max() >> 1) + 1) for p in parts]
+            for turn in range(TURNS):
+                for total, (doc, gain) in zip(sums, _bucket_gains(parts, turn, known, hot, n_train, n_kinds, tree), strict=True):
+                    total += np.bincount(doc, gain, minlength=len(total))
+            for block, total in zip(blocks, sums, strict=True):
                 docs = np.flatnonzero(total)
                 out.append((block, 0, packed(docs.astype(np.uint32), np.round(total[docs] / GRAIN) * GRAIN), None))
         columns = list(zip(*out, strict=True)) or [[]] * 4
@@ -511,7 +519,8 @@ def _distributions(entries: DataFrame, hot: Hot, buckets: int, kind: str) -> Dat
     spread = F.create_map(*(F.lit(x) for word, wide in hot.words.items() for x in (word, min(wide, buckets))))
     at = {word: int(_mixed(np.array([word]))[0] % np.uint64(buckets)) for word in hot.words}
     start = F.create_map(*(F.lit(x) for word, first in at.items() for x in (word, first)))
-    dealt_ = entries.withColumn("k", F.explode(F.sequence(F.lit(0), F.element_at(spread, F.col("b")) - 1))).withColumn("bucket", ((F.element_at(start, F.col("b")) + F.col("k")) % buckets).cast("int"))
+    places = F.transform(F.sequence(F.lit(0), F.element_at(spread, F.col("b")) - 1), lambda k: F.floor((F.element_at(start, F.col("b")) + k) % buckets / TURNS).cast("int"))
+    dealt_ = entries.withColumn("bucket", F.explode(F.array_distinct(places)))
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         bucket, a, b = (k.as_py() for k in key)
