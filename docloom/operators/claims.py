@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
@@ -71,7 +72,7 @@ def _filtered(hashes: DataFrame) -> Callable[[Column], Column]:
     places = [F.pmod(F.shiftrightunsigned("h", k), F.lit(FILTER_BITS)) for k in (0, 32)]
     bits = hashes.select(F.explode(F.array(*places)).alias("b")).groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("w")).collect()
     table = {r["at"]: r["w"] for r in bits}
-    numbers = F.expr(f"array({', '.join('CAST(-9223372036854775808 AS BIGINT)' if (v := table.get(i, 0)) == -(2**63) else f'{v}L' for i in range(FILTER_BITS // 64))})")
+    numbers = F.from_json(F.lit(json.dumps([table.get(i, 0) for i in range(FILTER_BITS // 64)])), "array<bigint>")  # read once, while the plan is made
 
     def may(h: Column) -> Column:
         bit = lambda k: F.pmod(F.shiftrightunsigned(h, k), F.lit(FILTER_BITS))

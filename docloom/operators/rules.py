@@ -6,6 +6,7 @@ every pattern is compiled once for each task; no join with a table of patterns.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.functions.text import capital, clause_name, pattern, template
+from docloom.functions.text import capital, clause_name, let, pattern, template
 
 FAMILIES = ("money", "time", "duty", "exit", "data-ip")
 STAGES = ("before-signing", "problem-started", "compare-versions")
@@ -92,21 +93,56 @@ def _quoted(value: str | None) -> str:
     return "CAST(NULL AS STRING)" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def hinted(rule: Rule, form: str) -> Column | None:
-    """Whether a text, in plain form in a column of that name, has a hint of the any patterns and of each of the all patterns; null where no pattern has any."""
-    groups = [[p] for p in rule.all] + [list(rule.any)]
-    parts = [dict.fromkeys(h for p in g for h in p.hints) for g in groups if all(isinstance(p, Hinted) and p.hints for p in g)]
-    if not parts:
+#: Places of the table of hints: a beginning of a word leads to the rules that have a hint so begun.
+SLOTS = 4093
+_WORDS = "[^a-z0-9_]+"
+
+
+def beginnings(rule: Rule) -> set[str] | None:
+    """Up to three first signs of the hints of the any patterns; null where a pattern has no hint, or one that begins no word."""
+    if not all(isinstance(p, Hinted) and p.hints for p in rule.any):
         return None
-    stands = lambda hints: " OR ".join(f"contains({form}, {_quoted(h)})" for h in hints)
-    return F.expr(" AND ".join(f"({stands(hints)})" for hints in parts))
+    begun = {re.match("[a-z0-9_]{0,3}", h)[0] for p in rule.any for h in p.hints}
+    return None if "" in begun else begun
+
 
+def _code(text: str) -> int:
+    """A number of its own for each beginning of one to three ASCII signs."""
+    return sum(ord(c) << 7 * k for k, c in enumerate(text))
 
-def fires(rule: Rule, text: Column, form: str | None = None) -> Column:
-    """One scan for all of the any patterns; the others only where that matches. With the column of its plain form no pattern is tried on a text without its hints."""
-    hint = None if form is None else hinted(rule, form)
-    if hint is not None:
-        return hint & fires(rule, text)
+
+def candidates(rules: Sequence[tuple[int, Rule]], form: Column) -> Column:
+    """Numbers of the rules that a text, in plain form, may fire, in order.
+
+    Each word's beginnings are looked up by their place in a constant table, so the cost is that of the
+    text's words, whatever the number of rules; on a text without hints no pattern is tried. Hints
+    stand at the beginning of a word, as in all patterns made of phrases. Rules without hints are
+    always candidates.
+    """
+    table: list[list[dict[str, int]]] = [[] for _ in range(SLOTS)]
+    always = []
+    for i, r in rules:
+        begun = beginnings(r)
+        if begun is None:
+            always.append(i)
+        for c in map(_code, begun or ()):
+            table[c % SLOTS].append({"c": c, "i": i})
+    slots = F.from_json(F.lit(json.dumps(table)), "array<array<struct<c:int,i:int>>>")  # read once, while the plan is made
+
+    lengths = sorted({len(b) for _, r in rules for b in beginnings(r) or ()})
+
+    def found(w: Column) -> Column:
+        held = lambda c: F.transform(F.filter(F.get(slots, F.pmod(c, F.lit(SLOTS))), lambda x: x["c"] == c), lambda x: x["i"])
+        code = lambda n: sum((F.ascii(F.substring(w, k + 1, 1)) * (1 << 7 * k) for k in range(1, n)), F.ascii(w))
+        return F.concat(*(F.when(F.length(w) >= n, let(code(n), held)).otherwise(F.array().cast("array<int>")) for n in lengths))
+
+    words = F.array_distinct(F.transform(F.filter(F.split(form, _WORDS), lambda w: w != ""), lambda w: F.substring(w, 1, 3)))
+    hit = F.flatten(F.transform(words, found)) if lengths else F.array().cast("array<int>")
+    return F.array_sort(F.array_distinct(F.concat(hit, F.from_json(F.lit(json.dumps(always)), "array<int>"))))
+
+
+def fires(rule: Rule, text: Column) -> Column:
+    """One scan for all of the any patterns; the others only where that matches."""
     every = "|".join(f"(?:{re.sub(r'[(][?]<[a-z][a-zA-Z0-9_]*>', '(?:', p)})" for p in rule.any)
     out = _hit(text, every)
     for p in rule.all:
@@ -146,15 +182,14 @@ def evaluate(paragraphs: DataFrame, rules: Sequence[Rule], stage: str | None = N
     used = [(i, r) for i, r in enumerate(rules) if document_type is None or not r.types or document_type in r.types]
     text, at = F.col("text"), F.col("rule_order")
     read = paragraphs.where(~F.col("heading") & (F.trim("text") != "")).select(key, "paragraph_index", "text", "clause", plain(text).alias("_form"))
-    # First which rules fire; what they matched is read from their rows alone, and only where it is asked for.
-    fired = F.array_compact(F.array(*(F.when(fires(r, text, "_form"), F.lit(i)) for i, r in used))) if used else F.array().cast("array<int>")
-    hits = read.withColumn("rule_order", F.explode(fired))
+    # First the rules of which the text has a hint, a row for each, then which of them fire; what they matched is read from the hits alone, and only where it is asked for.
+    asked = read.select(key, "paragraph_index", "text", "clause", F.explode(candidates(used, F.col("_form"))).alias("rule_order"))
 
     def said(of) -> Column:
         """of(rule) for the row's rule, a constant."""
         return F.get(F.expr(f"CAST(array({', '.join(_quoted(of(r)) for r in rules)}) AS ARRAY<STRING>)"), at)
 
-    def made(of, none: Column) -> Column:
+    def made(of, none: Column | None) -> Column:
         """of(rule), an expression over the text, for the row's rule."""
         out = none
         for i, r in used:
@@ -166,6 +201,7 @@ def evaluate(paragraphs: DataFrame, rules: Sequence[Rule], stage: str | None = N
         values = {name: F.element_at(caught, name) for name in r.captures} | {"clause": clause_name(F.col("clause"))}
         return capital(template(r.prompt, values))
 
+    hits = asked.where(made(lambda r: fires(r, text), None)) if used else asked.where("false")
     nothing, more = F.lit(None).cast("string"), []
     if details:
         more = [made(lambda r: matched(r, text), nothing).alias("matched"), made(lambda r: captured(r, text), F.create_map().cast("map<string,string>")).alias("captures"), made(prompt, nothing).alias("prompt")]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom import review_queries
 from docloom.operators import ask, claims, evidence, flow, rules
+from docloom.operators.rules import Hinted
 from docloom.plans.registry import REVIEW_REGISTER, RULES
 from docloom.sources import files, resources
 from docloom.streaming import state
@@ -70,12 +71,30 @@ def test_hints_spare_no_rule(spark):
     """Every rule gives the same with and without its hints, on its sentence in any case and between other words."""
     said = [s for s, _ in review_queries.SENTENCES]
     texts = said + [s.upper() for s in said] + [f"So then {s} And more." for s in said] + ["", None, "LocK-in of two weeks", "A lock in of 5 days", "maintenance charges shall be paid", "Maintenance is what he shall do"]
-    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("form", rules.plain(F.col("text")))
-    off = [F.sum((F.coalesce(rules.fires(r, F.col("text")), F.lit(False)) != F.coalesce(rules.fires(r, F.col("text"), "form"), F.lit(False))).cast("int")).alias(r.id) for r in RULES]
+    texts += ["Étermination of the lease", "K\u212ainetic", "sum:Rs.5 rent/fee", "x_terminate", "pre-terminate now with two months' notice"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("found", rules.candidates(list(enumerate(RULES)), rules.plain(F.col("text"))))
+    off = [F.count_if(rules.fires(r, F.col("text")) & ~F.array_contains("found", i)).alias(r.id) for i, r in enumerate(RULES)]
     assert set(df.agg(*off).first().asDict().values()) == {0}
+    spared = df.where(F.col("text").isNotNull()).agg(F.avg(F.size("found")).alias("n")).first().n
+    assert spared < len(RULES) / 4  # most rules are never tried
     assert {r for _, fired in review_queries.SENTENCES for r in fired.split(",")} == {r.id for r in RULES}
 
 
+def test_a_thousand_rules(spark):
+    """On texts without hints no rule of a large registry is tried, and with hints the same ones fire as by trying all."""
+    name = lambda k: "".join(chr(97 + (k // 26**d) % 26) for d in range(3))
+    many = [rules.Rule(f"money.r{k}", "t", [Hinted(rf"\bq{name(k)}(?:s|ed)?\b", f"q{name(k)}")]) for k in range(1000)]
+    many[7] = rules.Rule("money.r7", "t", [r"\bplain\b"])  # no hint: always tried
+    texts = ["the river is wide and slow " * 30, f"x q{name(500)}s y", f"q{name(1)} q{name(2)}ed", f"q{name(3)}xx", "so plain", "", f"Q{name(999).upper()}"]
+    rows = [(1, i, t, None, False) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, paragraph_index int, text string, clause struct<kind:string,label:string>, heading boolean")
+    found = df.select("paragraph_index", rules.candidates(list(enumerate(many)), rules.plain(F.col("text"))).alias("c")).orderBy("paragraph_index").collect()
+    assert found[0].c == [7] and found[5].c == [7] and all(len(r.c) < 90 for r in found)
+    few = [many[k] for k in (1, 2, 3, 7, 500, 999)]
+    hits = {(r.paragraph_index, r.rule_id) for r in rules.evaluate(df, few, details=False).collect()}
+    assert hits == {(1, "money.r500"), (2, "money.r1"), (2, "money.r2"), (4, "money.r7"), (6, "money.r999")}
+
+
 def test_claims_across_and_resolved(spark):
     told = "Say only what the excerpts state and never tell the reader what to do or guess"
     rows = [(1, 0, "Fine words."), (1, 1, "Well: say only what the excerpts"), (1, 2, "state and never tell it"), (2, 0, told), (2, 1, "A sum is due."), (3, 0, None), (3, 1, "")]
