@@ -114,14 +114,27 @@ RULES = (
     _rule("data-ip.handling", "Handling of data", [begins("encrypt"), words("cloud", "copies", "ai tool", "ai tools")]),
 )
 
-#: Cues over what a reader types, most specific first: name, patterns, guidance.
+#: Cues over what a reader types, most specific first: name, patterns, guidance. Written for plain speech, with a few Hindi forms.
+_CHILDREN = "(?:son|daughter|child|children|kids?|baby|toddler|nephew|niece)"
+_FAMILY = "(?:husband|wife|partner|father|mother|brother|in-laws|boyfriend|girlfriend|ex)"
+_HARM = "(?:hits?|hurts?|hurting|beats?|beat|beating|slaps?|slapped|kicks?|kicked|chokes?|choked|abus(?:es|ed|ing))"
 SAFETY_CUES = {
-    "violence": ([r"\b(?:hit|hurt|beat|attack)(?:s|ing|ed)? me\b", r"\bthreaten\w* to (?:hurt|kill|harm)"], ["emergency", "police"]),
-    "self-harm": ([r"\bkill myself\b", r"\bend my life\b", r"\bsuicid"], ["helpline"]),
-    "eviction": ([r"\block(?:ed|ing)? (?:me|us) out\b", r"\bthrown? (?:me|us) out\b"], ["legal-aid", "police"]),
+    "child": ([rf"\b(?:my|our|her|his)\s+{_CHILDREN}\b.{{0,40}}?\b(?:{_HARM}|missing|in danger|not safe|unsafe|starving)\b", rf"\b{_HARM}\s+(?:my|our|the)\s+{_CHILDREN}\b", r"बच्चे\s+को\s+मार"], ["child-helpline", "emergency"]),
+    "domestic": ([rf"\bmy\s+{_FAMILY}\b.{{0,30}}?\b(?:{_HARM}|threatens?|threatened)\b.{{0,20}}?\b(?:me|us)\b", r"\bafraid\s+(?:to go home|of my " + _FAMILY + r")\b", r"\bpati\s+(?:mujhe\s+)?maar"], ["women-helpline", "emergency", "legal-aid"]),
+    "violence": ([r"\b(?:hit|hurt|beat|attack)(?:s|ing|ed)? me\b", r"\bthreaten\w* to (?:hurt|kill|harm)", r"\bmujhe\s+(?:maar|peet)", r"मुझे\s+मार"], ["emergency", "police"]),
+    "self-harm": ([r"\bkill myself\b", r"\bend my life\b", r"\bsuicid", r"\b(?:marna|mar jana)\s+chaht[aie]\b", r"आत्महत्या"], ["helpline"]),
+    "eviction": ([r"\block(?:ed|ing)? (?:me|us) out\b", r"\bthrown? (?:me|us) out\b", r"\bghar\s+se\s+nikal"], ["legal-aid", "police"]),
     "detention": ([r"\b(?:took|taken|keep\w*|holding) my passport\b", r"\bnot (?:let|allow\w*) me (?:to )?leave\b"], ["police", "legal-aid"]),
     "coercion": ([r"\bforc\w* (?:me|us) to sign\b", r"\bsign (?:it )?or else\b"], ["legal-aid"]),
 }
+#: What shows that a text with a cue's words isn't one: negations, works of fiction, terms of art.
+_TOLD = r"\b(?:film|movie|novel|episode|hypothetical(?:ly)?|joking|joke)\b"
+SAFETY_VETOES = {
+    "child": [_TOLD, r"\bchild(?:ren)?\s+(?:labour|care|support)\s+clause\b"],
+    "domestic": [_TOLD, r"\b(?:never|does not|doesn't|did not|didn't)\s+(?:hit|hurt|beat|threaten)"],
+    "violence": [_TOLD, r"\b(?:nobody|no one|never|did not|didn't|does not|doesn't)\s+(?:hit|hurt|beat|attack|threaten)", r"\b(?:hits|hit|hurts|hurt) me (?:in the pocket|financially|hard financially)\b"],
+    "self-harm": [_TOLD, r"\bsuicide\s+(?:clause|exclusion|cover)\b"],
+}
 INSTRUCTIONS = {
     "override": [r"\bignore (?:all |any )?(?:previous|prior|above) (?:instructions|prompts)\b", r"\bdisregard the (?:above|instructions)\b"],
     "role": [r"\byou are now\b", r"\bact as (?:a|an|the)\b.{0,30}\b(?:assistant|model|lawyer)\b", r"\bsystem prompt\b"],

@@ -6,6 +6,8 @@ by order number, for each customer's document. Their SQL takes expected values f
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from docloom.functions.text import clause_label, is_heading, tokens
 from docloom.operators import claims, compare, evidence, flow, packet, paragraphs, retrieval, rules
 from docloom.plans.registry import INSTRUCTIONS, RULES
 from docloom.sources import positioned
-from docloom.streaming import state
+from docloom.streaming import journeys, state
 
 STAGE = "before-signing"
 
@@ -410,6 +412,42 @@ FLOW_SQL = f"""WITH {_DEADLINES_SQL} SELECT c_custkey AS journey_id, CASE WHEN c
 FROM customer LEFT JOIN u ON journey_id = c_custkey AND i = 1"""
 
 
+def _journey_events(spark, sf_dir):
+    """Events of journeys made from the event table: a user's sign-ups choose a stage, views bring deadlines, errors and clicks are texts."""
+    e = table(spark, sf_dir, "events")
+    i, kind = F.col("event_id"), F.col("event_type")
+    stages = F.array(*map(F.lit, ("before-signing", "problem-started", "compare-versions")))
+    said = F.when(i % 211 == 0, "Yesterday they locked me out, then HIT ME").when(i % 199 == 0, "In the film they hit me").otherwise("All is well here")
+    return e.select(
+        F.col("user_id").alias("journey_id"), "ts", i.alias("event_id"), F.when(kind == "signup", journeys.STAGE_CHOSEN).when(kind == "view", journeys.DEADLINE).otherwise(journeys.SAID).alias("type"),
+        F.when(kind == "signup", F.element_at(stages, (i % 3 + 1).cast("int"))).alias("stage"), said.alias("text"),
+        F.when(kind == "view", F.when(i % 2 == 0, "user").otherwise("document")).otherwise(F.when(kind == "error", "interview").otherwise("question")).alias("origin"),
+        F.when(kind == "view", F.date_add(F.lit("2024-01-01").cast("date"), (i % 60).cast("int"))).alias("date"), F.when(i % 3 == 0, F.concat(F.lit("view "), i.cast("string"))).alias("label"),
+    )
+
+
+def journey_states(spark, sf_dir):
+    """Status of each journey after all its events, with the first alarm absorbing."""
+    found = journeys.journeys(_journey_events(spark, sf_dir), dt.date(2024, 1, 20))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return found.select("journey_id", "status", "stage", F.col("deadline").cast("string").alias("deadline"), "days_left", "deadline_origin", "label", joined("cues"), joined("matched"), joined("guidance"), "said_in")
+
+
+JOURNEY_SQL = """WITH e AS (
+  SELECT user_id AS j, ts, event_id AS i, event_type AS t, CAST(ts AS TIMESTAMP) AS tm, event_type IN ('error', 'click', 'purchase') AND event_id % 211 = 0 AS alarm FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL
+), a AS (SELECT * FROM e WHERE alarm QUALIFY row_number() OVER (PARTITION BY j ORDER BY tm, i) = 1),
+b AS (SELECT e.* FROM e LEFT JOIN a USING (j) WHERE a.i IS NULL OR e.tm < a.tm OR (e.tm = a.tm AND e.i < a.i)),
+s AS (SELECT j, ['before-signing', 'problem-started', 'compare-versions'][i % 3 + 1] AS stage FROM b WHERE t = 'signup' QUALIFY row_number() OVER (PARTITION BY j ORDER BY tm DESC, i DESC) = 1),
+d AS (
+  SELECT j, i, DATE '2024-01-01' + CAST(i % 60 AS INT) AS deadline, CAST(i % 60 - 19 AS INT) AS days_left, CASE WHEN i % 2 = 0 THEN 'user' ELSE 'document' END AS o, CASE WHEN i % 3 = 0 THEN 'view ' || i END AS label
+  FROM b WHERE t = 'view' AND i % 60 - 19 <= 7
+), u AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY j ORDER BY days_left < 0, abs(days_left), o = 'document', label IS NULL, label) = 1)
+SELECT k.j AS journey_id, CASE WHEN a.i IS NOT NULL THEN 'safety-escalation' WHEN stage IS NULL THEN 'awaiting-stage' WHEN u.j IS NOT NULL THEN 'urgent-review' ELSE 'review' END AS status, stage,
+  CAST(CAST(deadline AS DATE) AS VARCHAR) AS deadline, days_left, u.o AS deadline_origin, u.label, CASE WHEN a.i IS NOT NULL THEN 'violence,eviction' END AS cues, CASE WHEN a.i IS NOT NULL THEN 'HIT ME,locked me out' END AS matched,
+  CASE WHEN a.i IS NOT NULL THEN 'emergency,police,legal-aid' END AS guidance, CASE a.t WHEN 'error' THEN 'interview' WHEN 'click' THEN 'question' WHEN 'purchase' THEN 'question' END AS said_in
+FROM (SELECT DISTINCT j FROM e) k LEFT JOIN a USING (j) LEFT JOIN s USING (j) LEFT JOIN u USING (j)"""
+
+
 def resource_routing(spark, sf_dir):
     concerns = F.array(*map(F.lit, ("housing", "work", "safety", "privacy")))
     asked = table(spark, sf_dir, "customer").select("c_custkey", F.element_at(concerns, (F.col("c_custkey") % 4 + 1).cast("int")).alias("concern"))
@@ -462,7 +500,7 @@ QUERIES = {
     for f in (
         token_stats, line_stats, heading_lines, repeated_lines, clause_labels, bm25_topk_corpus, bm25_topk_per_source, ask_clauses, query_expansion,
         rule_hits, rule_captures, rule_prompts, family_summary, rules_not_fired, instruction_flags, dates_found, timeline, evidence_capped, document_map,
-        compare_versions, dice_pairs, benchmark_echo, claim_checks, sessions_30m, sessions_6h, token_bucket, urgent_deadline, flow_state,
+        compare_versions, dice_pairs, benchmark_echo, claim_checks, sessions_30m, sessions_6h, token_bucket, urgent_deadline, flow_state, journey_states,
         resource_routing, packet_lines, packet_text, layout_paragraphs,
     )
 }
@@ -473,5 +511,5 @@ ORACLE_SQL = {
     "instruction_flags": INSTRUCTION_FLAGS_SQL, "dates_found": DATES_FOUND_SQL, "timeline": TIMELINE_SQL, "evidence_capped": EVIDENCE_SQL,
     "document_map": DOCUMENT_MAP_SQL, "compare_versions": COMPARE_SQL, "dice_pairs": DICE_SQL, "benchmark_echo": BENCHMARK_ECHO_SQL,
     "claim_checks": CLAIM_CHECKS_SQL, "sessions_30m": _sessions_sql(1800), "sessions_6h": _sessions_sql(21_600), "urgent_deadline": URGENT_SQL,
-    "flow_state": FLOW_SQL, "resource_routing": ROUTING_SQL, "rule_prompts": RULE_PROMPTS_SQL, "token_bucket": TOKEN_BUCKET_SQL, "layout_paragraphs": LAYOUT_SQL,
+    "flow_state": FLOW_SQL, "journey_states": JOURNEY_SQL, "resource_routing": ROUTING_SQL, "rule_prompts": RULE_PROMPTS_SQL, "token_bucket": TOKEN_BUCKET_SQL, "layout_paragraphs": LAYOUT_SQL,
 }
