@@ -27,8 +27,8 @@ TEMPLATES = (
     ("mit", "released under the mit license", "mit license"),
     ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3", "general public license version 3"),
-    ("gpl-2.0", "this work is licensed under the gnu general public license version 2", "general public license version 2"),
+    ("gpl-3.0", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
+    ("gpl-2.0", "this work is licensed under the gnu general public license version 2", "gnu general public license version 2"),
     ("lgpl", "this library is licensed under the gnu lesser general public license", "lesser general public license"),
     ("agpl", "this work is licensed under the gnu affero general public license", "affero general public license"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4 0"),
@@ -36,9 +36,22 @@ TEMPLATES = (
     ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
+    ("apache-2.0", "licensed under the apache license v2 0", "apache license v2 0"),
+    ("gpl-2.0", "licensed under the gnu gpl v2", "gnu gpl v2"),
+    ("gpl-3.0", "licensed under the gnu gpl v3", "gnu gpl v3"),
+    ("lgpl-2.1", "gnu lesser general public license version 2 1", "lesser general public license version 2 1"),
+    ("lgpl-3.0", "gnu lesser general public license version 3", "lesser general public license version 3"),
+    ("mpl-2.0", "mozilla public license version 2 0", "mozilla public license version 2 0"),
+    ("mit", "spdx license identifier mit", "spdx license identifier mit"),
+    ("apache-2.0", "spdx license identifier apache 2 0", "spdx license identifier apache 2 0"),
+    ("gpl-2.0", "spdx license identifier gpl 2 0", "spdx license identifier gpl 2 0"),
+    ("gpl-3.0", "spdx license identifier gpl 3 0", "spdx license identifier gpl 3 0"),
+    ("mpl-2.0", "spdx license identifier mpl 2 0", "spdx license identifier mpl 2 0"),
+    ("bsd-2-clause", "spdx license identifier bsd 2 clause", "bsd 2 clause"),
+    ("bsd-3-clause", "spdx license identifier bsd 3 clause", "bsd 3 clause"),
 )
 #: Words of the templates that are not indexed.
-FUNCTION_WORDS = frozenset("a and any are by for free in is of or provided that the this to under use v with without work 0 2 3 4".split())
+FUNCTION_WORDS = frozenset("a and any are by for free in is of or provided that the this to under use v with without work 0 1 2 3 4".split())
 
 
 def words(text: Column) -> Column:

@@ -86,6 +86,21 @@ def test_licences(spark):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_names_and_versions_of_licences(spark):
+    said = {
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1": ["gpl", "lgpl-2.1"],
+        "Apache License v2.0": ["apache", "apache-2.0"],
+        "Mozilla Public License Version 2.0": ["mpl-2.0"],
+        "SPDX-License-Identifier: BSD-3-Clause": ["bsd-3-clause"],
+        "SPDX-License-Identifier: GPL-2.0-or-later": ["gpl-2.0"],
+        "GNU General Public License version 2": ["gpl", "gpl-2.0"],
+        "GNU Affero General Public License version 3": ["agpl", "gpl"],
+    }
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    got = {r.text: r.labels for r in license_scan.scan(docs).collect()}
+    assert {t: [x for x in got[t] if x not in ("lgpl",)] for t in said} == said
+
+
 def test_licences_of_a_file_with_several(spark):
     """All templates whose key phrase stands in a file are found, with the best share of any of their places."""
     texts = [t for _, t, _ in license_scan.TEMPLATES]
