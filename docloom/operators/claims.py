@@ -18,18 +18,63 @@ from docloom.sources.shared import kept
 MAX_CLAIMS, MAX_TEXT, MAX_QUOTE, MAX_CITED, MIN_QUOTE_WORDS = 8, 400, 300, 3, 3
 ECHO_WORDS, ECHO_WINDOW, ECHO_STEP, ECHO_SHARE, ECHO_SLACK = 8, 16, 4, 0.7, 1.5
 #: Reasons in the order in which a claim is held against them.
-REASONS = ("unknown-chunk", "quote-too-short", "quote-not-found", "instructions-echoed", "conclusory-language")
+REASONS = ("unknown-chunk", "quote-too-short", "quote-not-found", "instructions-echoed", "conclusory-language", "off-register")
 OUTPUT = "struct<claims:array<struct<text:string,quote:string,source_chunk_ids:array<string>,category:string,confidence:double>>>"
+#: Longest category, and how many issues of an output are told.
+MAX_CATEGORY, MAX_ISSUES = 40, 8
+FIELDS = ("text", "quote", "source_chunk_ids", "category", "confidence")
+
+
+def issues_of(said: Column, read: Column, most: int = MAX_CLAIMS, categories: Sequence[str] = ()) -> Column:
+    """What is wrong with an output, as "path: what", at most MAX_ISSUES; empty where it fits. said: its JSON text; read: the same as OUTPUT."""
+    none = F.array().cast("array<string>")
+    note = lambda test, *text: F.when(test, F.array(F.concat(*(F.lit(t) if isinstance(t, str) else t.cast("string") for t in text)))).otherwise(none)
+    others = lambda keys, known, path: F.transform(F.array_except(F.coalesce(keys, none), F.array(*map(F.lit, known))), lambda k: F.concat(path, F.lit(": unknown key "), k))
+
+    def of_claim(raw: Column, i: Column) -> Column:
+        c, path = F.get(read["claims"], i), F.concat(F.lit("claims."), i.cast("string"))
+        told = lambda field, test, what: note(F.coalesce(test, F.lit(True)), path, f".{field}: {what}")
+        texts = [told(f, (F.trim(c[f]) == "") | (F.length(F.trim(c[f])) > n), f"must be a text of 1 to {n} characters") for f, n in (("text", MAX_TEXT), ("quote", MAX_QUOTE))]
+        known = c["category"].isin(list(categories)) if categories else (c["category"] != "") & (F.length(c["category"]) <= MAX_CATEGORY)
+        ids = c["source_chunk_ids"]
+        return F.concat(
+            *texts,
+            told("source_chunk_ids", ~F.size(ids).between(1, MAX_CITED) | F.exists(ids, lambda x: x.isNull() | (x == "")), f"must name 1 to {MAX_CITED} excerpts"),
+            told("category", ~known, "is not one of the categories"),
+            told("confidence", ~c["confidence"].between(0, 1), "must be a number from 0 to 1"),
+            others(F.json_object_keys(raw), FIELDS, path),
+        )
+
+    raws = F.from_json(F.get_json_object(said, "$.claims"), "array<string>")
+    top = F.concat(
+        others(F.json_object_keys(said), ("claims",), F.lit("output")),
+        note(read["claims"].isNull(), "claims: must be a list"),
+        note(F.size(read["claims"]) > most, f"claims: more than {most}"),
+    )
+    return F.slice(F.concat(top, F.coalesce(F.flatten(F.transform(raws, of_claim)), none)), 1, MAX_ISSUES)
+
 
+def parse(outputs: DataFrame, text: str = "output", most: int = MAX_CLAIMS, categories: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(claims, failures) of model outputs (response_id, output). A failure is not-json or schema, with its issues.
 
-def parse(outputs: DataFrame, text: str = "output") -> tuple[DataFrame, DataFrame]:
-    """(claims, failures) of model outputs (response_id, output): failures are not-json or schema."""
+    An output fits as a whole or not at all: unknown keys are issues too. Of an output that is no JSON
+    nothing is told. Texts and quotes lose the white space around them. Null outputs are no JSON.
+    """
     read = outputs.withColumn("o", F.from_json(text, OUTPUT)).withColumn("json", F.get_json_object(text, "$").isNotNull())
-    c = lambda ok: F.forall("o.claims", ok)
-    fine = F.col("o.claims").isNotNull() & (F.size("o.claims") <= MAX_CLAIMS) & c(lambda x: x["text"].isNotNull() & (F.length(x["text"]) <= MAX_TEXT) & x["quote"].isNotNull() & (F.length(x["quote"]) <= MAX_QUOTE) & F.size(x["source_chunk_ids"]).between(1, MAX_CITED) & x["category"].isNotNull() & x["confidence"].between(0, 1))
-    judged = read.withColumn("error", F.when(~F.col("json"), "not-json").when(~F.coalesce(fine, F.lit(False)), "schema"))
+    judged = read.withColumn("issues", F.when(F.col("json"), issues_of(F.col(text), F.col("o"), most, categories)).otherwise(F.array().cast("array<string>")))
+    judged = judged.withColumn("error", F.when(~F.col("json"), "not-json").when(F.size("issues") > 0, "schema"))
     claims = judged.where("error IS NULL").select("response_id", F.posexplode("o.claims").alias("claim_index", "c")).select("response_id", "claim_index", "c.*")
-    return claims, judged.where("error IS NOT NULL").select("response_id", "error")
+    return claims.withColumns({c: F.trim(c) for c in ("text", "quote")}), judged.where("error IS NOT NULL").select("response_id", "error", "issues")
+
+
+def lint(text: Column, language: Mapping[str, Sequence[str]] = LANGUAGE) -> Column:
+    """array of (register, phrase): of each register of conclusory language its first phrase that stands in the text; one for a register at most."""
+    said = match_form(text)
+    found = []
+    for name, ps in language.items():
+        phrase = F.coalesce(*(F.when(said.rlike(pattern(p)), F.regexp_extract(said, pattern(p), 0)) for p in ps))
+        found.append(F.when(phrase.isNotNull(), F.struct(F.lit(name).alias("register"), phrase.alias("phrase"))))
+    return F.array_compact(F.array(*found))
 
 
 def words(text: Column) -> Column:
@@ -198,8 +243,11 @@ def in_review_register(text: Column) -> Column:
     return F.when(said == "", F.lit(True)).otherwise(hit)
 
 
-def validate(claims: DataFrame, chunks: DataFrame, instructions: Sequence[str] = (), language: Mapping[str, Sequence[str]] = LANGUAGE) -> DataFrame:
-    """claims with reason (null: accepted) and supporting: the cited ids, those that carry the quote first.
+def validate(claims: DataFrame, chunks: DataFrame, instructions: Sequence[str] = (), language: Mapping[str, Sequence[str]] = LANGUAGE, review: bool = False) -> DataFrame:
+    """claims with reason (null: accepted), supporting (the cited ids, those that carry the quote first), phrases (what lint found) and hint.
+
+    hint names the excerpt of the response, the first by id, in which a quote stands that none of the
+    cited ones has. With review, statements that put nothing to the reader are off-register.
 
     claims: response_id, claim_index, text, quote, source_chunk_ids. chunks: response_id, chunk_id, text.
     """
@@ -213,17 +261,17 @@ def validate(claims: DataFrame, chunks: DataFrame, instructions: Sequence[str] =
     )
     rows = claims.join(per, ["response_id", "claim_index"])
     quoted = F.size(F.filter(F.split(F.col("quote"), r"\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]")))
-    said = match_form(F.col("text"))
-    wrong = F.lit(False)
-    for ps in language.values():
-        for p in ps:
-            wrong = wrong | said.rlike(pattern(p))
+    rows = rows.withColumn("phrases", lint(F.col("text"), language))
     told = F.lit(False)
     if instructions:
         recited = F.array_distinct(F.flatten(F.array(*(runs(F.lit(t)) for t in instructions))))
         told = F.arrays_overlap(runs(F.coalesce(F.col("text"), F.lit(""))), recited) | near_echo(instructions)(F.col("text"))
-    reason = F.when(F.col("_unknown"), REASONS[0]).when(quoted < MIN_QUOTE_WORDS, REASONS[1]).when(~F.col("_found"), REASONS[2]).when(told, REASONS[3]).when(wrong, REASONS[4])
-    return rows.withColumn("reason", reason).withColumn("supporting", F.transform("_ids", lambda x: x["chunk_id"])).drop("_unknown", "_found", "_ids")
+    reason = F.when(F.col("_unknown"), REASONS[0]).when(quoted < MIN_QUOTE_WORDS, REASONS[1]).when(~F.col("_found"), REASONS[2]).when(told, REASONS[3]).when(F.size("phrases") > 0, REASONS[4])
+    reason = reason.when(~in_review_register(F.coalesce(F.col("text"), F.lit(""))), REASONS[5]) if review else reason
+    judged = rows.withColumn("reason", reason).withColumn("supporting", F.transform("_ids", lambda x: x["chunk_id"])).drop("_unknown", "_found", "_ids")
+    lost = judged.where(F.col("reason") == REASONS[2]).select("response_id", "claim_index", match_form(F.col("quote")).alias("_q"))
+    hints = lost.join(sent, "response_id").where(F.contains("_said", "_q")).groupBy("response_id", "claim_index").agg(F.min("chunk_id").alias("hint"))  # a response has a few excerpts
+    return judged.join(hints, ["response_id", "claim_index"], "left")
 
 
 def decide(validated: DataFrame, floor: float = 0.6) -> DataFrame:

@@ -135,10 +135,15 @@ SAFETY_VETOES = {
     "violence": [_TOLD, r"\b(?:nobody|no one|never|did not|didn't|does not|doesn't)\s+(?:hit|hurt|beat|attack|threaten)", r"\b(?:hits|hit|hurts|hurt) me (?:in the pocket|financially|hard financially)\b"],
     "self-harm": [_TOLD, r"\bsuicide\s+(?:clause|exclusion|cover)\b"],
 }
+#: Texts inside a document that speak to a model instead of to its reader, by what they try.
 INSTRUCTIONS = {
-    "override": [r"\bignore (?:all |any )?(?:previous|prior|above) (?:instructions|prompts)\b", r"\bdisregard the (?:above|instructions)\b"],
-    "role": [r"\byou are now\b", r"\bact as (?:a|an|the)\b.{0,30}\b(?:assistant|model|lawyer)\b", r"\bsystem prompt\b"],
-    "output": [r"\b(?:respond|reply|answer) only with\b", r"\bdo not (?:mention|reveal|tell)\b"],
+    "override": [r"\bignore (?:all |any )?(?:previous|prior|above) (?:instructions|prompts)\b", r"\bdisregard the (?:above|instructions)\b", r"\bforget (?:everything|all) (?:you|said|above|before)\b"],
+    "role": [r"\byou are now\b", r"\bact as (?:a|an|the)\b.{0,30}\b(?:assistant|model|lawyer)\b", r"\bsystem prompt\b", r"\bpretend (?:to be|that you)\b"],
+    "output": [r"\b(?:respond|reply|answer) only with\b", r"\bdo not (?:mention|reveal|tell)\b", r"\b(?:print|repeat|show) (?:your|the) (?:instructions|rules|hidden)\b"],
+    "markup": [r"<[|]?/?(?:system|assistant|user|im_start|im_end)[|]?>", r"(?:^|\n)\s*(?:system|assistant)\s*:\s", r"\[/?inst\]"],
+    "new-task": [r"\b(?:new|updated|real) (?:instructions|task) (?:for (?:the|an) (?:ai|model|assistant)|follow|below)\b", r"\b(?:dear|attention|note to(?: the)?) (?:ai|model|assistant|language model)\b"],
+    "verdict-order": [r"\b(?:rate|mark|report|describe|summari[sz]e) this (?:document|agreement|contract|clause) as (?:safe|fair|standard|low risk|favou?rable)\b"],
+    "secrets": [r"\b(?:send|post|upload|forward) (?:the |this |all |your )?(?:conversation|data|answers?|keys?) to\b", r"\bapi key\b"],
 }
 LANGUAGE = {
     "verdict": [r"\b(?:is|are) (?:illegal|unlawful|unenforceable|void)\b", r"\byou will (?:win|lose)\b"],
