@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.functions.text import clause_label, is_heading, tokens
+from docloom.functions.text import SPELLINGS, clause_label, is_heading, tokens
 from docloom.operators import claims, compare, evidence, flow, packet, paragraphs, retrieval, rules
-from docloom.plans.registry import INSTRUCTIONS, RULES
+from docloom.plans.registry import INSTRUCTIONS, RULES, STOPWORDS
 from docloom.sources import positioned
 from docloom.streaming import journeys, state
 
@@ -174,6 +174,26 @@ SELECT * FROM (VALUES (1, 'landlord', 'landlord', 1.0::DOUBLE, 'query'), (1, 'de
   (1, 'security', 'deposit', 0.5, 'synonym'), (2, 'court', 'court', 1.0, 'query'), (2, 'fine', 'fine', 1.0, 'query'), (2, 'jurisdiction', 'court', 0.5, 'synonym'), (2, 'arbitration', 'court', 0.5, 'synonym'),
   (2, 'penalty', 'fine', 0.5, 'synonym'), (2, 'liquidated', 'fine', 0.5, 'synonym'), (2, 'damages', 'fine', 0.5, 'synonym')) t(query_id, term, surface, weight, origin)"""
 
+#: Words of the corpus beside others for them, to expand whole documents with.
+BESIDE = {"de": ["von der", "aus"], "la": ["die"], "license": ["permit", "grant"], "and": ["und"]}
+
+
+def expanded_documents(spark, sf_dir):
+    """The terms of each document taken as a question, its own and those of synonyms."""
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    terms = retrieval.query_terms(asked, stemmed=False, synonyms=BESIDE)
+    return terms.groupBy("query_id", "origin").agg(F.count("*").alias("terms"), F.sum("weight").alias("weight"), F.max("term").alias("last"))
+
+
+_SPELLED = f"CASE t {' '.join(f'WHEN {a!r} THEN {b!r}' for a, b in SPELLINGS.items())} ELSE t END"
+EXPANDED_SQL = f"""WITH w AS (SELECT DISTINCT doc_id, unnest({_TOKENS.format("text")}) AS t FROM documents),
+said AS (SELECT * FROM w WHERE t NOT IN ({", ".join(map(repr, sorted(STOPWORDS)))})),
+p(k, v) AS (VALUES {", ".join(f"({k!r}, {t!r})" for k, vs in BESIDE.items() for v in vs for t in v.split())}),
+own AS (SELECT DISTINCT doc_id, {_SPELLED} AS term FROM said),
+more AS (SELECT DISTINCT doc_id, v AS term FROM said JOIN p ON k = t WHERE v NOT IN ({", ".join(map(repr, sorted(STOPWORDS)))}))
+SELECT doc_id AS query_id, 'query' AS origin, count(*) AS terms, CAST(count(*) AS DOUBLE) AS weight, max(term) AS last FROM own GROUP BY doc_id
+UNION ALL SELECT doc_id, 'synonym', count(*), 0.5 * count(*), max(term) FROM more ANTI JOIN own USING (doc_id, term) GROUP BY doc_id"""
+
 #: Which rules fire on which kind of sentence, with the stage's relevance.
 EXPECTED = (
     (0, "money.payment-terms", "money", "primary"), (0, "time.deadline", "time", "secondary"), (0, "time.dated", "time", "background"),
@@ -520,7 +540,7 @@ LAYOUT_SQL = """SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION B
 QUERIES = {
     f.__name__: f
     for f in (
-        token_stats, line_stats, heading_lines, repeated_lines, clause_labels, bm25_topk_corpus, bm25_topk_per_source, ask_clauses, query_expansion,
+        token_stats, line_stats, heading_lines, repeated_lines, clause_labels, bm25_topk_corpus, bm25_topk_per_source, ask_clauses, query_expansion, expanded_documents,
         rule_hits, rule_captures, rule_prompts, family_summary, rules_not_fired, instruction_flags, instruction_turns, dates_found, timeline, evidence_capped, document_map,
         compare_versions, dice_pairs, benchmark_echo, claim_checks, sessions_30m, sessions_6h, token_bucket, urgent_deadline, flow_state, journey_states,
         resource_routing, packet_lines, packet_text, layout_paragraphs,
@@ -528,7 +548,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "token_stats": TOKEN_STATS_SQL, "line_stats": LINE_STATS_SQL, "heading_lines": HEADING_LINES_SQL, "repeated_lines": REPEATED_LINES_SQL,
-    "clause_labels": CLAUSE_LABELS_SQL, "bm25_topk_corpus": _bm25_sql("", 20), "bm25_topk_per_source": _bm25_sql("source", 3), "query_expansion": QUERY_EXPANSION_SQL,
+    "clause_labels": CLAUSE_LABELS_SQL, "bm25_topk_corpus": _bm25_sql("", 20), "bm25_topk_per_source": _bm25_sql("source", 3), "query_expansion": QUERY_EXPANSION_SQL, "expanded_documents": EXPANDED_SQL,
     "rule_hits": RULE_HITS_SQL, "rule_captures": RULE_CAPTURES_SQL, "family_summary": FAMILY_SUMMARY_SQL, "rules_not_fired": RULES_NOT_FIRED_SQL,
     "instruction_flags": INSTRUCTION_FLAGS_SQL, "instruction_turns": INSTRUCTION_TURNS_SQL, "dates_found": DATES_FOUND_SQL, "timeline": TIMELINE_SQL, "evidence_capped": EVIDENCE_SQL,
     "document_map": DOCUMENT_MAP_SQL, "compare_versions": COMPARE_SQL, "dice_pairs": DICE_SQL, "benchmark_echo": BENCHMARK_ECHO_SQL,
