@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.llm.common import attach, cut
+from docloom.llm.common import attach, cut, slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = re.compile(r"[A-Z\u00C0-\u00D6\u00D8-\u00DE\u0391-\u03A9\u0410-\u042F]")
@@ -89,7 +89,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             made = np.array([counted(t or "") for t in batch.column(at).to_pylist()], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(made[:, k]) for k in range(len(COUNTS)))], [*batch.schema.names, *COUNTS])
 

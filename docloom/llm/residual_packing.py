@@ -21,14 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import attach, cut
+from docloom.llm.common import attach, cut, slices
 
 #: Fixed value: the public pattern that splits text before the merges of byte-level vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The text and id of the vocabulary's only special token.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: Entries after which a worker's memo starts anew; results don't depend on it.
-MEMO = 400_000
+MEMO = 100_000
 
 
 class Words(dict):
@@ -69,7 +69,7 @@ def pieces(docs: DataFrame, ranks: str, size: int = 1024, end_id: int = 2, key:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, last = words(ranks), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             row, nth, start, length, crc = [], [], [], [], []
             for k, t in enumerate(batch.column(1).to_pylist()):
                 ids = memo.ids(t or "") + last
