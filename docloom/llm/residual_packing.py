@@ -27,30 +27,25 @@ from docloom.llm.common import attach, cut, slices
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The text and id of the vocabulary's only special token.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
-#: Entries after which a worker's memo starts anew; results don't depend on it.
-MEMO = 100_000
+#: Characters from which on a text is split into words first: the library's own split fails on a million white-space signs in a row.
+LONG = 500_000
 
 
-class Words(dict):
-    """The ids of a word as little-endian unsigned 32-bit numbers; encodes each distinct word once."""
+class Words:
+    """The ids of texts as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.split = regex.compile(PATTERN).findall
-        self.encode = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(word), dtype="<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = ids
-        return ids
+        self.split = regex.compile(PATTERN).finditer
+        self.encoding = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
 
     def ids(self, text: str) -> bytes:
+        if len(text) < LONG:
+            return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+        one = lambda w: np.array(self.encoding._encode_single_piece(w), "<u4").tobytes()
         between = np.array([SPECIAL_ID], dtype="<u4").tobytes()
-        return between.join([b"".join([self[w] for w in self.split(part)]) for part in text.split(SPECIAL)])
+        return between.join([b"".join([one(m[0]) for m in self.split(part)]) for part in text.split(SPECIAL)])
 
 
 @lru_cache(maxsize=2)
@@ -68,11 +63,11 @@ def pieces(docs: DataFrame, ranks: str, size: int = 1024, end_id: int = 2, key:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, last = words(ranks), np.array([end_id], dtype="<u4").tobytes()
+        encoder, last = words(ranks), np.array([end_id], dtype="<u4").tobytes()
         for batch in (part for whole in batches for part in slices(whole)):
             row, nth, start, length, crc = [], [], [], [], []
             for k, t in enumerate(batch.column(1).to_pylist()):
-                ids = memo.ids(t or "") + last
+                ids = encoder.ids(t or "") + last
                 n = len(ids) // 4
                 a, i = 0, 0
                 while a < n:
