@@ -33,7 +33,7 @@ from docloom.llm.common import Tables
 from docloom.llm.words import tokens, word_hash
 
 #: Tokens of a block of documents, occurrences that a bucket should hold, and buckets that a task goes through one after another.
-BLOCK, BUCKET, TURNS = 1_000_000, 800_000, 5
+BLOCK, BUCKET, TURNS = 1_000_000, 800_000, 3
 #: A word with more occurrences than so many buckets should hold is hot.
 HOT = 1.2
 #: Sums by bucket and document are rounded to this, far below what a score is read to, so that they pack well.
@@ -411,14 +411,16 @@ def _scores(kind: pa.DataType, hot: Hot, n_train: int, n_kinds: int, tree: Tree)
 
     def run(rows: pa.Table) -> pa.Table:
         kinds = rows["kind"].to_numpy()
-        out = [(b, 2, p, k) for b, p, k, x in zip(rows["block"].to_pylist(), rows["payload"].to_pylist(), rows["keys"].to_pylist(), kinds, strict=True) if x == 2]
+        of = lambda kind: rows.filter(pa.array(kinds == kind))
+        out = [(r["block"], 2, r["payload"], r["keys"]) for r in of(2).to_pylist()]
         known: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for blob in rows.filter(pa.array(kinds == 1))["payload"].to_pylist():
-            context, w, c = unpacked(blob)
+        for blob in of(1)["payload"]:
+            context, w, c = unpacked(blob.as_py())
             known[int(context[0]), int(context[1])] = w, c  # sorted by w
-        mine = rows.filter(pa.array(kinds == 0))
+        mine = of(0)
         if mine.num_rows:
-            parts, blocks = [unpacked(x) for x in mine["payload"].to_pylist()], mine["block"].to_pylist()
+            # One by one, so that the packed strings are not held beside the arrays as Python objects.
+            parts, blocks = [unpacked(x.as_py()) for x in mine["payload"]], mine["block"].to_pylist()
             sums = [np.zeros(int(p[5].max() >> 1) + 1) for p in parts]
             for turn in range(TURNS):
                 for total, (doc, gain) in zip(sums, _bucket_gains(parts, turn, known, hot, n_train, n_kinds, tree), strict=True):
