@@ -34,7 +34,8 @@ SHORTENED = {
 _CLOSING = "[\"”')\\]]{0,8}"
 _POINTED = "|".join(w.replace(".", "[.]") for ws in SHORTENED.values() for w in ws)
 #: The places between two sentences: behind an end mark, its closing signs and white space, before any other sign.
-BETWEEN = f"(?<=[.!?।]{_CLOSING}{SPACE}{{1,32}})(?={SOLID})(?<!(?:^|{SPACE}|[(])(?:{_POINTED}|[A-Z])[.]{_CLOSING}{SPACE}{{1,32}})"
+#: The two signs before a place are looked at first, as a look back over many costs more than all the rest.
+BETWEEN = f"(?<=[.!?।\"”')\\]{SPACE[1:]}{SPACE})(?={SOLID})(?<=[.!?।]{_CLOSING}{SPACE}{{1,32}})(?<!(?:^|{SPACE}|[(])(?:{_POINTED}|[A-Z])[.]{_CLOSING}{SPACE}{{1,32}})"
 
 
 def span(start: Column, end: Column) -> Column:
@@ -87,7 +88,8 @@ def window_around(text: Column, bounds: Column, focus: Column, most: int) -> Col
         right = F.when(right < F.length(two), F.greatest(right - split, F.lit(0))).otherwise(right)
         return span(focus["start"] - left, focus["end"] + right)
 
-    return let(F.struct(before.alias("one"), behind.alias("two")), shared)
+    fits = (bounds["end"] - bounds["start"] <= most) & (focus["start"] >= bounds["start"]) & (focus["end"] <= bounds["end"])
+    return F.when(fits, span(bounds["start"], bounds["end"])).otherwise(let(F.struct(before.alias("one"), behind.alias("two")), shared))
 
 
 def excerpt(text: Column, focus: Column, most: int = MAX_EXCERPT) -> Column:
@@ -108,7 +110,8 @@ def verbatim(text: Column, match: Column, exact: bool = False) -> Column:
 
 def places(hits: DataFrame) -> DataFrame:
     """hits (text, matched, ...) with said: one verbatim claim for each, the sentence around what matched."""
-    return hits.withColumn("said", verbatim(F.col("text"), span_of(F.col("text"), F.col("matched"))))
+    # The span in a column of its own: within the claim it would be looked for anew wherever it is named.
+    return hits.withColumn("_at", span_of(F.col("text"), F.col("matched"))).withColumn("said", verbatim(F.col("text"), F.col("_at"))).drop("_at")
 
 
 def tidy_question(question: Column) -> Column:
