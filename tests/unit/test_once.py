@@ -39,3 +39,11 @@ def test_sentences_are_cut_at_the_same_places(spark):
 def test_candidates_are_made_once(spark):
     said = plan(rules.evaluate(located(spark), RULES, "before-signing", details=False))
     assert said.count("regexp_extract_all(") == 1
+
+
+def test_dates_scan_a_text_once_for_each_form(spark):
+    found = evidence.dates(located(spark))
+    assert plan(found).count("regexp_extract_all(text") == 3
+    got = [(r.written, r.date) for r in found.orderBy("at").collect()]
+    assert got == [("Monday, 5th day of May 2026", dt.date(2026, 5, 5)), ("7 May 2026", dt.date(2026, 5, 7)), ("03/04/2025", dt.date(2025, 4, 3))]
+    assert [r[0] for r in located(spark).orderBy("doc_id", "paragraph_index").select(F.size(find_dates(F.col("text")))).collect()] == [3, 0, 0]
