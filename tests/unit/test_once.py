@@ -47,3 +47,10 @@ def test_dates_scan_a_text_once_for_each_form(spark):
     got = [(r.written, r.date) for r in found.orderBy("at").collect()]
     assert got == [("Monday, 5th day of May 2026", dt.date(2026, 5, 5)), ("7 May 2026", dt.date(2026, 5, 7)), ("03/04/2025", dt.date(2025, 4, 3))]
     assert [r[0] for r in located(spark).orderBy("doc_id", "paragraph_index").select(F.size(find_dates(F.col("text")))).collect()] == [3, 0, 0]
+
+
+def test_evidence_is_not_joined_with_the_paragraphs(spark):
+    where = located(spark)
+    found = evidence.evidence(where, rules.evaluate(where, RULES, "before-signing", details=False))
+    assert "Join" not in plan(found)
+    assert {r.field: r.places for r in found.collect()}["dates"] == [1]
