@@ -54,3 +54,19 @@ def test_evidence_is_not_joined_with_the_paragraphs(spark):
     found = evidence.evidence(where, rules.evaluate(where, RULES, "before-signing", details=False))
     assert "Join" not in plan(found)
     assert {r.field: r.places for r in found.collect()}["dates"] == [1]
+
+
+def test_tokens_of_any_length(spark):
+    t = "a 1 bb é été 1,234,5 don't " + "x" * 64 + " " + "y" * 65 + " 7a १ ź"
+    got = spark.createDataFrame([(t,)], "t string").select(tokens(F.col("t"))).first()[0]
+    assert got == ["1", "bb", "été", "12345", "dont", "x" * 64, "7a", "१", "ź"]
+
+
+def test_an_index_tokenises_once(spark):
+    chunks = spark.createDataFrame([(1, 1, "ties and a tie of 12 notices"), (1, 2, "Notice 12"), (2, 1, "ti 12")], "doc_id int, paragraph_index int, text string")
+    asked = spark.createDataFrame([(1, "tied notices 12"), (2, "ti")], "query_id int, query string")
+    terms = retrieval.query_terms(asked)
+    built = retrieval.index(chunks, terms=terms)
+    assert not any("regexp" in plan(part) for part in built[1:]) and "regexp" not in plan(built[0])
+    every = retrieval.index(chunks)
+    assert sorted(map(tuple, built[0].collect())) == sorted(tuple(r) for r in every[0].join(terms.select("term").distinct(), "term", "left_semi").select(*built[0].columns).collect())
