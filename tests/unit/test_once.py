@@ -59,7 +59,7 @@ def test_evidence_is_not_joined_with_the_paragraphs(spark):
 def test_tokens_of_any_length(spark):
     t = "a 1 bb é été 1,234,5 don't " + "x" * 64 + " " + "y" * 65 + " 7a १ ź"
     got = spark.createDataFrame([(t,)], "t string").select(tokens(F.col("t"))).first()[0]
-    assert got == ["1", "bb", "été", "12345", "dont", "x" * 64, "7a", "१", "ź"]
+    assert got == ["1", "bb", "été", "12345", "dont", "x" * 64, "7a", "१"]
 
 
 def test_an_index_tokenises_once(spark):
