@@ -78,7 +78,7 @@ def _rule(id: str, title: str, any: list[str], **more) -> Rule:
 
 
 RULES = (
-    _rule("money.payment-terms", "Amounts payable", [rf"(?<amount>{SUM})"], all=[begins("pay", "rent", "fee", "charge", "salar", "month", "per month")], none=[words("deposit", "damages", "repay"), begins("late pa", "late-pa")], prompt="Check {clause}: is {amount|the amount} the sum you expect, and when is it due?", category="payment"),
+    _rule("money.payment-terms", "Amounts payable", [Hinted(rf"(?<amount>{SUM})", "rs", "inr", "rupees", "₹")], all=[begins("pay", "rent", "fee", "charge", "salar", "month", "per month")], none=[words("deposit", "damages", "repay"), begins("late pa", "late-pa")], prompt="Check {clause}: is {amount|the amount} the sum you expect, and when is it due?", category="payment"),
     _rule("money.deposit", "Deposit and refund", [words("security deposit", "refundable"), near(words("deposit"), begins("refund", "return", "deduct"))], prompt="When is the deposit of {clause} due back, and what may be kept of it?"),
     _rule("money.late-fees", "Charges for late payment", [begins("late fee", "late charge", "late payment", "late-payment", "penal interest"), words("per day of delay"), near(words("interest"), begins("delay", "overdue"), 12)], none=[begins("deduct")], category="penalty"),
     _rule("money.bond-repayment", "Bonds and repayment", [words("training bond", "training cost", "training costs", "service bond", "repay"), near(begins("reimburs"), words("company", "employer"), 12), near(begins("recover"), words("salary", "final pay", "dues"))], category="bond"),
